@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import packing, token_counts, token_output
+from vellum.llm import packing, quality_rules, token_counts, token_output, url_filters
 from vellum.llm.common import table
 
 
@@ -21,17 +21,37 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.join(found, ["file_id", "nth"]).select("doc_id", "n_tokens", "ended")
 
 
+#: Fixed values of the contract: pattern and verdict of each rule.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filters.judge(pages, URL_RULES).drop("url")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_vocabulary(), end_id=1, capacity=2048)
 
 
+def learned_rules(spark: SparkSession, sf_dir: str) -> list:
+    sample = quality_rules.labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_rules.learn(sample)
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality_rules.judge(docs, learned_rules(spark, sf_dir))
+    return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, folder = token_output.write(table(spark, sf_dir, "documents"), word_vocabulary(), end_id=2)
     return token_output.read(manifest, folder)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op5_packing, op10_token_output)}
+    return {f.__name__: f for f in (op2_token_counts, op4_url_filters, op5_packing, op8_quality_rules, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
