@@ -36,6 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def where_computed(df: DataFrame, condition: F.Column) -> DataFrame:
+    """Filter by columns that are costly to compute. The optimizer would move the condition below their projections and
+    compute each of them again inside it; it does not move it below a projection with a row number."""
+    return df.withColumn("__row", F.monotonically_increasing_id()).where(condition & (F.col("__row") >= 0)).drop("__row")
+
+
 def words_of(text) -> F.Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text column as an array; null: empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import SPACE, materialize, words_of
+from vellum.llm.common import SPACE, materialize, where_computed, words_of
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The symbols that are counted.
@@ -55,8 +55,8 @@ def base_counts(df: DataFrame, text: str = "text", prefix: str = "") -> DataFram
     df = df.withColumn(own("lines"), lines)
     values = {
         "n_words": F.col(own("n")),
-        "word_chars": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.regexp_replace(t, SPACE + "+", "")).cast("long"),
+        "n_symbols": (F.length(t) - F.length(F.regexp_replace(t, f"[{SYMBOLS}]+", ""))).cast("long"),
         "n_dup_lines": (F.size(own("lines")) - F.size(F.array_distinct(own("lines")))).cast("long"),
         "n_repeat_words": covered,
     }
@@ -72,15 +72,15 @@ def features(text: str = "text", prefix: str = "") -> dict[str, Column]:
     """What conditions test, as ratios that do not grow with the text."""
     t = F.coalesce(F.col(text), F.lit(""))
     n, chars = F.greatest(F.col(prefix + "n_words"), F.lit(1)), F.greatest(F.length(t), F.lit(1))
-    without = lambda some: F.length(t) - F.length(F.translate(t, some, ""))
+    without = lambda some: F.length(t) - F.length(F.regexp_replace(t, f"[{some}]+", ""))
     return {
         "word_length": F.col(prefix + "word_chars") / n,
         "symbols_a_word": F.col(prefix + "n_symbols") / n,
         "dup_lines_a_word": F.col(prefix + "n_dup_lines") / n,
         "repeated_share": F.col(prefix + "n_repeat_words") / n,
-        "capital_share": without("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / chars,
+        "capital_share": without("A-Z") / chars,
         "mark_share": without("!?") / chars,
-        "digit_share": without("0123456789") / chars,
+        "digit_share": without("0-9") / chars,
         "stop_share": without(".,;") / chars,
     }
 
@@ -113,8 +113,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     ids = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    counted = base_counts(found)
-    return counted.where(~base_failed()).select("doc_id", "bad", *[v.cast("double").alias(k) for k, v in features().items()])
+    return where_computed(base_counts(found), ~base_failed()).select("doc_id", "bad", *[v.cast("double").alias(k) for k, v in features().items()])
 
 
 def learn(sample: DataFrame, *, most_rules: int = 6, most_conditions: int = 3, precision: float = 0.97, least: int = 12) -> list[Rule]:
