@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import packing, quality_rules, token_counts, token_output, url_filters
+from vellum.llm import decontaminate, jaccard_join, packing, quality_rules, token_counts, token_output, url_filters
 from vellum.llm.common import table
 
 
@@ -14,6 +14,10 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     files, order, folder = token_counts.write_flat(docs, word_vocabulary())
@@ -34,6 +38,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_vocabulary(), end_id=1, capacity=2048)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def learned_rules(spark: SparkSession, sf_dir: str) -> list:
     sample = quality_rules.labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality_rules.learn(sample)
@@ -51,7 +59,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op4_url_filters, op5_packing, op8_quality_rules, op10_token_output)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_token_counts, op4_url_filters, op5_packing, op7_decontaminate, op8_quality_rules, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
