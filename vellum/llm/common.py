@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -21,8 +22,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_FOLDERS: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/vellum/{uuid.uuid4().hex}/{name}"
+    return f"{_FOLDERS[-1] if _FOLDERS else scratch_dir(spark) + '/vellum'}/{uuid.uuid4().hex}/{name}"
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables materialized inside are deleted at the end; what lives on is kept with `keep`."""
+    folder = f"{scratch_dir(spark)}/vellum/{uuid.uuid4().hex}"
+    _FOLDERS.append(folder)
+    try:
+        yield
+    finally:
+        _FOLDERS.pop()
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -32,6 +49,42 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Materialize outside the present scratch folder."""
+    held, _FOLDERS[:] = list(_FOLDERS), _FOLDERS[:-1]
+    try:
+        return materialize(df, name)
+    finally:
+        _FOLDERS[:] = held
+
+
+def id_filter(ids: DataFrame, bits: int = 23) -> bytes:
+    """A one-hash Bloom filter of the only (long) column, 2^bits bits whatever the number of rows."""
+    bit = F.pmod(F.xxhash64(ids.columns[0]), F.lit(1 << bits))
+    at = ids.select(bit.alias("bit")).select(F.shiftright("bit", 15).alias("part"), F.col("bit").bitwiseAND(32767).alias("at"))
+    out, size = bytearray((1 << bits) // 8), 32768 // 8
+    for p in at.groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")).collect():
+        out[p["part"] * size : (p["part"] + 1) * size] = p["bits"]
+    return bytes(out)
+
+
+def filtered(df: DataFrame, column: str, held, inside: bool) -> DataFrame:
+    """Rows of df whose (long) column may be in a broadcast filter, or surely isn't. No shuffle."""
+    import pyarrow as pa
+
+    def run(batches):
+        import numpy as np
+
+        table = np.frombuffer(held.value, np.uint8)
+        for batch in batches:
+            at = batch.column(0).to_numpy() & (8 * len(table) - 1)
+            hit = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            yield batch.filter(pa.array((hit == 1) == inside)).select(range(1, batch.num_columns))
+
+    rows = df.select(F.xxhash64(column).alias("__hash"), *[F.col(f"`{c}`") for c in df.columns])
+    return rows.mapInArrow(run, df.schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

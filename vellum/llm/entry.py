@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import decontaminate, jaccard_join, packing, quality_rules, token_counts, token_output, url_filters
+from vellum.llm import decontaminate, jaccard_join, packing, quality_rules, suffix_dedup, token_counts, token_output, url_filters
 from vellum.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.join(found, ["file_id", "nth"]).select("doc_id", "n_tokens", "ended")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 #: Fixed values of the contract: pattern and verdict of each rule.
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
@@ -59,7 +63,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_token_counts, op4_url_filters, op5_packing, op7_decontaminate, op8_quality_rules, op10_token_output)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_token_counts, op3_suffix_dedup, op4_url_filters, op5_packing, op7_decontaminate, op8_quality_rules, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
