@@ -1,32 +1,73 @@
-"""Corpus pipeline: stages that each filter or pack what the stage before kept."""
+"""Corpus pipeline: quality rules, near-duplicate removal, repeated passages, benchmark passages, packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vellum.llm import packing
-from vellum.llm.entry import word_vocabulary
+from vellum.llm import decontaminate, jaccard_join, packing, quality_rules, suffix_dedup
+from vellum.llm.common import keep, scratch, where_computed
+from vellum.llm.entry import learned_rules, word_vocabulary
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rules nor the learned list rejects."""
+    judged = quality_rules.judge(docs, learned_rules(spark, sf_dir), prefix="__")
+    return where_computed(judged, F.col("__kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of five-word shingle sets with a similarity of 0.8 or more: the smallest doc_id, and
+    of several rows with that doc_id the one with the smallest text hash. Documents with a null doc_id stay."""
+    linked = jaccard_join.link(docs, k=5, percent=80)
+    # Ids that go: members of a component other than its representative.
+    gone = linked.where("doc_id <> component_id").select("doc_id").distinct()
+    with scratch(spark):
+        again = keep(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("text")).alias("least")).where("n > 1"), "again")
+    once = docs.join(gone, "doc_id", "left_anti")
+    if again.isEmpty():
+        return once
+    several = once.join(again, "doc_id", "left").where(F.col("n").isNull() | (F.xxhash64("text") == F.col("least")))
+    apart = several.where("n is null").select(*docs.columns)
+    return apart.union(several.where("n is not null").dropDuplicates(["doc_id"]).select(*docs.columns))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 400-byte strings that occur more than once."""
+    return suffix_dedup.deduplicate(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an approximate copy of a benchmark passage."""
+    found = decontaminate.occurrences(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    with scratch(spark):
+        hit = keep(found.select("doc_id").distinct(), "leaks")
+    return docs.join(hit, "doc_id", "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 tokens."""
     return packing.pack(docs, word_vocabulary(), end_id=1, capacity=2048)
 
 
-STAGES = [("packing", pack)]
+STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", repeated_passages), ("benchmark decontamination", benchmark_passages), ("packing", pack)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents."""
+    """Apply the stages to documents; each is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            with scratch(spark):
+                docs = keep(docs, f"stage_{i}")
     return docs
 
 
 def queries() -> dict:
-    return {}
+    return {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vellum.llm import decontaminate, jaccard_join, packing, quality_rules, suffix_dedup, token_counts, token_output, url_filters
+from vellum.llm import decontaminate, jaccard_join, license_scan, packing, quality_rules, suffix_dedup, token_counts, token_output, url_filters, warc
 from vellum.llm.common import table
 
 
@@ -42,6 +43,42 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_vocabulary(), end_id=1, capacity=2048)
 
 
+def warc_records(pages: DataFrame) -> DataFrame:
+    """Two records a page: its full response, and a revisit 1000 pages later that names the page's own entity tag."""
+    tag = F.md5(F.coalesce("html", F.lit("")))
+    row = lambda kind, record, time, headers: F.struct(record.alias("record_id"), time.alias("time"), F.lit(kind).alias("type"), headers.alias("headers"))
+    full = F.create_map(F.lit("etag"), tag, F.lit("content-length"), F.octet_length("html").cast("string"))
+    again = F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag), F.lit("date"), F.col("page_id").cast("string"), F.lit("set-cookie"), F.lit("x"))
+    both = F.explode(F.array(row("response", F.col("page_id") * 2, F.col("page_id") * 2, full), row("revisit", F.col("page_id") * 2 + 1, (F.col("page_id") + 1000) * 2 + 1, again)))
+    return pages.select("url", F.lit(None).cast("string").alias("digest"), both.alias("r")).select("url", "digest", "r.*")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(warc_records(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    return found.select("record_id", "canonical", "response_id", "status", F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";").alias("headers"))
+
+
+OP6_SQL = r"""
+WITH p AS (
+  SELECT page_id, md5(coalesce(html, '')) AS tag, octet_length(encode(html)) AS n,
+         regexp_replace(regexp_replace(url, '#.*$', '', 's'), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages),
+q AS (
+  SELECT page_id, tag, n, regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www\.|:80$|:443$', '', 'g') AS host,
+         regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/$', '') AS path,
+         list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))) AS params FROM p),
+c AS (
+  SELECT page_id, tag, n, host || CASE WHEN path = '' THEN '/' ELSE path END
+         || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canonical FROM q),
+m AS (
+  SELECT v.page_id, max(r.page_id) AS met FROM c v JOIN c r ON r.canonical = v.canonical AND r.page_id <= v.page_id + 1000 GROUP BY v.page_id)
+SELECT v.page_id * 2 + 1 AS record_id, v.canonical, r.page_id * 2 AS response_id,
+       CASE WHEN r.page_id IS NULL THEN 'orphan' WHEN r.tag = v.tag THEN 'resolved' ELSE 'changed' END AS status,
+       CASE WHEN r.tag = v.tag THEN 'content-length=' || r.n || ';date=' || v.page_id || ';etag=W/' || v.tag
+            ELSE 'date=' || v.page_id || ';etag=W/' || v.tag || ';set-cookie=x' END AS headers
+FROM c v LEFT JOIN m USING (page_id) LEFT JOIN c r ON r.page_id = m.met
+"""
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,14 +94,18 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).select("doc_id", "line", "family", F.round("template_share", 6).alias("template_share"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, folder = token_output.write(table(spark, sf_dir, "documents"), word_vocabulary(), end_id=2)
     return token_output.read(manifest, folder)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_token_counts, op3_suffix_dedup, op4_url_filters, op5_packing, op7_decontaminate, op8_quality_rules, op10_token_output)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_token_counts, op3_suffix_dedup, op4_url_filters, op5_packing, op6_warc, op7_decontaminate, op8_quality_rules, op9_license_scan, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc": OP6_SQL}

@@ -259,7 +259,7 @@ DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def cut(text: str | None, spans: list[dict] | None) -> tuple[bytes, bytes, list[tuple[int, int]]]:
     """(all bytes, bytes that stay, merged spans)."""
     data = (text or "").encode("utf-8")
-    runs = merged([(s["lo"], s["hi"]) for s in spans or []])
+    runs = merged([(s["lo"], s["hi"]) for s in (spans if spans is not None else [])])
     kept, at = [], 0
     for lo, hi in runs:
         kept.append(data[at:lo])
