@@ -1,11 +1,274 @@
-"""Registered queries and the SQL that gives the same rows."""
+"""Registered queries: the operators bound to the test tables, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vellum.functions import lexical as L
+from vellum.operators import conformance as C
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("""SELECT o_orderkey, count(l_orderkey) AS found FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey
+GROUP BY o_orderkey HAVING count(l_orderkey) NOT BETWEEN 1 AND 4""")
+def card_check(spark, d):
+    return C.cardinality(t(spark, d, "orders"), t(spark, d, "lineitem"), "o_orderkey", "l_orderkey", 1, 4)
+
+
+@query("SELECT o_orderkey, 0::BIGINT AS found FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def card_zero(spark, d):
+    return C.cardinality(t(spark, d, "orders"), t(spark, d, "lineitem"), "o_orderkey", "l_orderkey", 1, None)
+
+
+@query("SELECT doc_id FROM documents WHERE text IS NULL OR regexp_matches(text, '^\\s*$')")
+def required_value(spark, d):
+    return t(spark, d, "documents").where(F.col("text").isNull() | F.regexp_like("text", F.lit(r"^\s*$"))).select("doc_id")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus NOT IN ('O', 'F')")
+def vocab_check(spark, d):
+    return t(spark, d, "orders").where(~F.col("o_orderstatus").isin("O", "F")).select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT event_id, json_type(props, '$.k') AS found FROM events WHERE json_type(props, '$.k') IS DISTINCT FROM 'UBIGINT'")
+def kind_check(spark, d):
+    kind = F.expr("schema_of_variant(try_variant_get(try_parse_json(props), '$.k', 'variant'))")
+    return t(spark, d, "events").select("event_id", kind.alias("found")).where("found is null or found <> 'BIGINT'")
+
+
+@query("""SELECT doc_id, first_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, md5(text)) AS first_id FROM documents)
+WHERE doc_id <> first_id""")
+def unique_pair_first(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "lang", F.md5("text").alias("digest"))
+    firsts = docs.groupBy("lang", "digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    return docs.join(firsts, ["lang", "digest"]).where("doc_id <> first_id").select("doc_id", "first_id")
+
+
+@query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def dangling_ref(spark, d):
+    return C.dangling(t(spark, d, "documents").select("doc_id", "source"), "doc_id", t(spark, d, "labels"), "doc_id")
+
+
+@query("""SELECT p_partkey, rule, nth FROM (SELECT p_partkey, CASE WHEN p_size > 40 THEN 'large' WHEN p_retailprice < 1000 THEN 'cheap'
+WHEN p_brand LIKE 'Brand#1%' THEN 'first brands' END AS rule, CASE WHEN p_size > 40 THEN 1 WHEN p_retailprice < 1000 THEN 2
+WHEN p_brand LIKE 'Brand#1%' THEN 3 END AS nth FROM part) WHERE rule IS NOT NULL""")
+def claim_window(spark, d):
+    rules = [("large", F.col("p_size") > 40), ("cheap", F.col("p_retailprice") < 1000), ("first brands", F.col("p_brand").like("Brand#1%"))]
+    return C.claims(t(spark, d, "part"), "p_partkey", rules)
+
+
+VOCABULARY = ("AUTOMOBIL", "BILDING", "FURNITURES", "MACHINRY", "HOUSEHOLDS")
+
+
+@query("""WITH w(word) AS (VALUES ('AUTOMOBIL'), ('BILDING'), ('FURNITURES'), ('MACHINRY'), ('HOUSEHOLDS')),
+v AS (SELECT DISTINCT c_mktsegment AS value FROM customer WHERE c_mktsegment IS NOT NULL),
+p AS (SELECT value, word, levenshtein(value, word) AS distance FROM v, w WHERE value NOT IN (SELECT word FROM w)
+  AND (lower(left(value, 1)) = lower(left(word, 1)) OR lower(right(value, 1)) = lower(right(word, 1)))
+  AND levenshtein(value, word) <= greatest(3, length(value) // 4)),
+r AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY distance, word) AS n FROM p)
+SELECT value, word, distance FROM r WHERE n = 1""")
+def near_miss(spark, d):
+    words = spark.createDataFrame([(w,) for w in VOCABULARY], "word string")
+    return C.near_misses(t(spark, d, "customer"), "c_mktsegment", words, "word")
+
+
+@query("""SELECT lang, source FROM (SELECT DISTINCT lang, source FROM documents) EXCEPT
+SELECT lang, source FROM documents JOIN labels USING (doc_id) WHERE quality = 0""")
+def not_examined(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "lang", "source")
+    return C.not_examined(docs, docs.join(t(spark, d, "labels").where("quality = 0"), "doc_id"), ["lang", "source"])
+
+
+@query("""SELECT bag, min(p_partkey) AS first_key, count(*) AS n FROM (SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(
+string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: x <> ''))), ' ') AS bag FROM part) GROUP BY bag HAVING count(*) > 1""")
+def bag_join(spark, d):
+    bags = t(spark, d, "part").select("p_partkey", C.token_bag(F.col("p_name")).alias("bag"))
+    return bags.groupBy("bag").agg(F.min("p_partkey").alias("first_key"), F.count("*").alias("n")).where("n > 1")
+
+
+@query("""WITH p AS (SELECT page_id, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages)
+SELECT prefix, count(*) AS n FROM (SELECT '/' || array_to_string(parts[1:i], '/') AS prefix FROM p, unnest(range(1, len(parts) + 1)) AS u(i)) GROUP BY prefix""")
+def prefix_join(spark, d):
+    path = F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1)
+    return t(spark, d, "pages").select(F.explode(C.path_prefixes(path)).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT user_id, count(DISTINCT event_type) AS n_values, min(event_type) AS low, max(event_type) AS high FROM events
+GROUP BY user_id HAVING count(DISTINCT event_type) > 1""")
+def disagreement(spark, d):
+    return C.disagreements(t(spark, d, "events"), "user_id", "event_type")
+
+
+@query("SELECT user_id, arg_min(event_type, event_id) AS first_type, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id")
+def settle_reading(spark, d):
+    return t(spark, d, "events").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("first_type"), F.max_by("event_type", "event_id").alias("last_type"))
+
+
+@query("SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source")
+def tally(spark, d):
+    return t(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_type, count(*) FILTER (hour(ts) < 8) AS night, count(*) FILTER (hour(ts) BETWEEN 8 AND 15) AS day,
+count(*) FILTER (hour(ts) > 15) AS evening FROM events GROUP BY event_type""")
+def pivot_where(spark, d):
+    h = F.hour("ts")
+    return t(spark, d, "events").groupBy("event_type").agg(F.count_if(h < 8).alias("night"), F.count_if(h.between(8, 15)).alias("day"), F.count_if(h > 15).alias("evening"))
+
+
+@query("""WITH a AS (SELECT user_id, event_type, ts, event_id, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS b
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM a)
+SELECT user_id, run::BIGINT AS run, any_value(event_type) AS value, count(*) AS length FROM r GROUP BY user_id, run""")
+def adjacent_runs(spark, d):
+    return C.runs(t(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type")
+
+
+@query("""SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id
+ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_purchase FROM events""")
+def carry_forward(spark, d):
+    value = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    return C.carry_forward(t(spark, d, "events").select("event_id", "user_id", "ts", "event_type"), "user_id", ["ts", "event_id"], value, "last_purchase").select("event_id", "last_purchase")
+
+
+@query("""SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS next_role FROM conversations""")
+def lead_pair(spark, d):
+    from pyspark.sql import Window
+
+    return t(spark, d, "conversations").select("conv_id", "turn", "role", F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).alias("next_role"))
+
+
+@query("""SELECT user_id, after, before FROM (SELECT user_id, event_id AS before, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS after
+FROM (SELECT DISTINCT user_id, event_id FROM events)) WHERE before - after > 1""")
+def gap_detect(spark, d):
+    return C.gaps(t(spark, d, "events"), "user_id", "event_id")
+
+
+@query("""WITH a AS (SELECT l_suppkey, l_extendedprice AS x, CASE WHEN x - lag(x) OVER w > 500 THEN 1 WHEN lag(x) OVER w IS NULL THEN 1 ELSE 0 END AS b
+FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_extendedprice)), c AS (SELECT *, sum(b) OVER (PARTITION BY l_suppkey ORDER BY x) AS cluster FROM a)
+SELECT l_suppkey, cluster::BIGINT AS cluster, min(x) AS low, max(x) AS high, count(*) AS n FROM c GROUP BY l_suppkey, cluster""")
+def cluster_1d(spark, d):
+    return C.clusters(t(spark, d, "lineitem"), "l_suppkey", "l_extendedprice", 500)
+
+
+@query("""SELECT lang, list_aggregate(ids[1:5], 'string_agg', ',') AS first_ids, len(ids)::BIGINT AS n FROM
+(SELECT lang, list(doc_id ORDER BY doc_id) AS ids FROM documents GROUP BY lang)""")
+def topk_named(spark, d):
+    from pyspark.sql import Window
+
+    docs = t(spark, d, "documents").select("lang", "doc_id")
+    first = docs.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).where("n <= 5")
+    first = first.groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("first_ids"))
+    return first.join(docs.groupBy("lang").agg(F.count("*").alias("n")), "lang")
+
+
+@query("SELECT page_id, lower(nullif(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1), '')) AS scheme, regexp_extract(url, '([^/]*)$', 1) AS file_name FROM pages")
+def part_name(spark, d):
+    return t(spark, d, "pages").select("page_id", L.scheme(F.col("url")).alias("scheme"), L.file_name(F.col("url")).alias("file_name"))
+
+
+@query("""SELECT o_orderkey, year(o_orderdate) % 4 = 0 AND (year(o_orderdate) % 100 <> 0 OR year(o_orderdate) % 400 = 0) AS leap_day_ok,
+day(o_orderdate) <= 28 AS in_february FROM orders""")
+def xs_date(spark, d):
+    year, day = F.date_format("o_orderdate", "yyyy"), F.date_format("o_orderdate", "dd")
+    return t(spark, d, "orders").select("o_orderkey", L.is_xs_date(F.concat(year, F.lit("-02-29Z"))).alias("leap_day_ok"), (L.is_xs_date(F.concat(year, F.lit("-02-"), day)) & (F.dayofmonth("o_orderdate") <= 28)).alias("in_february"))
+
+
+@query("SELECT p_partkey, '0173-1#02-' || upper('ab') || lpad((p_partkey % 10000)::VARCHAR, 4, '0') || '#001' AS norm_id FROM part")
+def norm_id(spark, d):
+    raw = F.concat(F.lit(" 0173/1#02-ab"), F.lpad((F.col("p_partkey") % 10000).cast("string"), 4, "0"), F.lit("-001 "))
+    return t(spark, d, "part").select("p_partkey", L.normal_identifier(raw).alias("norm_id"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 3000 THEN left(text, 2999) || '…' ELSE text END AS text FROM documents")
+def bounded_text(spark, d):
+    return t(spark, d, "documents").select("doc_id", L.bounded(F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(text, '[\\x00-\\x1f\\x7f]', '?', 'g')) AS digest FROM documents")
+def ctrl_escape(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.md5(L.visible(F.col("text"))).alias("digest"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents")
+def sha_digest(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+@query("SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def dup_digest(spark, d):
+    return t(spark, d, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.quality AS old, b.quality AS new,
+CASE WHEN b.doc_id IS NULL THEN 'gone' WHEN a.doc_id IS NULL THEN 'new' ELSE 'moved' END AS change
+FROM (SELECT doc_id, quality FROM labels WHERE doc_id % 7 <> 0) a FULL OUTER JOIN
+(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 1 - quality ELSE quality END AS quality FROM labels WHERE doc_id % 11 <> 0) b ON a.doc_id = b.doc_id
+WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.quality <> b.quality""")
+def verdict_diff(spark, d):
+    labels = t(spark, d, "labels").select("doc_id", "quality")
+    new = labels.where("doc_id % 11 <> 0").withColumn("quality", F.expr("case when doc_id % 5 = 0 then 1 - quality else quality end"))
+    return C.verdict_diff(labels.where("doc_id % 7 <> 0"), new, "doc_id", "quality")
+
+
+@query("""SELECT source, count(*) FILTER (s = 'error') AS errors, count(*) FILTER (s = 'warning') AS warnings, count(*) FILTER (s = 'info') AS notes,
+count(*) FILTER (s = 'error') = 0 AS ok, CASE WHEN count(*) FILTER (s = 'error') > 0 THEN 1 ELSE 0 END AS exit_code
+FROM (SELECT source, CASE WHEN toxic = 1 AND quality = 0 THEN 'error' WHEN quality = 0 THEN 'warning' ELSE 'info' END AS s FROM documents JOIN labels USING (doc_id)) GROUP BY source""")
+def severity_rollup(spark, d):
+    s = F.when((F.col("toxic") == 1) & (F.col("quality") == 0), "error").when(F.col("quality") == 0, "warning").otherwise("info")
+    found = t(spark, d, "documents").select("doc_id", "source").join(t(spark, d, "labels"), "doc_id").select("source", s.alias("severity"))
+    return C.rollup(found, "source", "severity")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_path(spark, d):
+    return t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("""SELECT r_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM region JOIN nation ON n_regionkey = r_regionkey
+JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY r_name""")
+def chain_walk(spark, d):
+    # Orders are summed by customer, and customers by nation, before each join.
+    by_customer = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("s"))
+    by_nation = t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")).join(by_customer, "c_custkey").groupBy("n_nationkey").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    named = by_nation.join(t(spark, d, "nation"), "n_nationkey").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return named.groupBy("r_name").agg(F.sum("n").alias("n"), F.round(F.sum("s"), 2).alias("total"))
+
+
+@query("""SELECT 'lineitem.part' AS link, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) UNION ALL
+SELECT 'orders.customer', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL
+SELECT 'labels.document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
+def referential_gate(spark, d):
+    links = [("lineitem.part", "lineitem", "l_partkey", "part", "p_partkey"), ("orders.customer", "orders", "o_custkey", "customer", "c_custkey"), ("labels.document", "labels", "doc_id", "documents", "doc_id")]
+    out = [C.dangling(t(spark, d, a).select(k), k, t(spark, d, b), j).agg(F.count("*").alias("n")).select(F.lit(name).alias("link"), "n") for name, a, k, b, j in links]
+    return out[0].union(out[1]).union(out[2])
+
+
+@query("""SELECT CASE WHEN l.doc_id IS NULL THEN 'unjudged' WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'poor' ELSE 'good' END AS bucket, count(*) AS n
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1""")
+def coverage_partition(spark, d):
+    bucket = F.when(F.col("quality").isNull(), "unjudged").when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").otherwise("good")
+    return t(spark, d, "documents").select("doc_id").join(t(spark, d, "labels"), "doc_id", "left").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
