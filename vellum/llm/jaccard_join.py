@@ -1,7 +1,7 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-A document is its set of distinct k-word shingles. Sets are ordered by an estimate of their shingles' frequency (a fixed
-number of hashed counters over the corpus, rarest first). Two sets whose Jaccard similarity reaches the threshold share at
+A document is its set of distinct k-word shingles. Sets are ordered by an estimate of their shingles' frequency, rarest
+first: every document is counted, task by task, and the corpus's most frequent shingles (a fixed number) have a level. Two sets whose Jaccard similarity reaches the threshold share at
 least l shingles among their first |set| - t + l, for every l up to t = ceil(threshold * |set|), so each document's l grows
 with its estimated candidates (how many documents stand in the lists of its shortest prefix): a longer prefix, and as many
 more shared prefix shingles asked for before a pair is verified on whole sets.
@@ -19,17 +19,27 @@ table gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import materialize
+from vellum.llm.common import filtered, id_filter, keep, materialize, scratch
 from vellum.llm.components import components
 
-#: Counters of the frequency sketch (2^18, a quarter MB as levels) and bits of the filter of verified documents (2^23, 1 MB).
-SKETCH_BITS, FILTER_BITS = 18, 23
+#: Shingles that have a frequency level, at most (1.2 MB).
+FREQUENT = 1 << 17
+#: Shingles counted at a time in a task; those met once among them are not passed on.
+CHUNK = 4_000_000
 #: Lists up to this length are paired whole.
 SHORT = 12
-MOST_MATCHES = 6
+LEAST_MATCHES, MOST_MATCHES = 3, 6
+
+
+def most_matches(n):
+    """The largest l of a set of n shingles: chance matches grow with the prefix, so long sets may ask for more."""
+    return MOST_MATCHES + n // 32
+
+
 #: Words kept with their hashes by one Python worker.
 CACHE_WORDS = 500_000
 _WORDS: dict = {}
@@ -75,26 +85,59 @@ def _count(k: int):
     def run(batches):
         import numpy as np
 
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        met: set = set()
+        held, size = [], 0
+
+        def several():
+            values, n = np.unique(np.concatenate(held), return_counts=True)
+            some = n > 1
+            return pa.RecordBatch.from_arrays([pa.array(values[some].view(np.int64)), pa.array(n[some])], ["shingle", "n"])
+
         for _, sets in _each(batches, k):
-            counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
-        at = np.flatnonzero(counts)
-        for lo in range(0, len(at), 65536):
-            some = at[lo : lo + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some], pa.int64())], ["bucket", "n"])
+            for s in sets:
+                d = _digest(s)
+                if d not in met:  # copies count once in a task
+                    if len(met) < 200_000:
+                        met.add(d)
+                    held.append(s)
+                    size += len(s)
+            if size >= CHUNK:
+                yield several()
+                held, size = [], 0
+        if held:
+            yield several()
 
     return run
 
 
 def frequency_levels(docs: DataFrame, k: int):
-    """The sketch: for each of 2^18 hash buckets the shingles counted over the whole corpus, on a logarithmic scale."""
+    """The most frequent shingles, sorted, and their levels: 1 + log2 of their counts over the whole corpus."""
     import numpy as np
 
-    counts = docs.mapInArrow(_count(k), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    levels = np.zeros(1 << SKETCH_BITS, np.uint8)
-    found = counts.toArrow()
-    levels[found["bucket"].to_numpy()] = np.minimum(255, 4 * np.log2(1 + found["n"].to_numpy()))
-    return levels
+    counts = docs.mapInArrow(_count(k), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = materialize(counts.withColumn("level", F.floor(F.log2("n")).cast("int")), "counts")
+    cut, room = 64, FREQUENT
+    for level, n in sorted(counts.groupBy("level").count().collect(), reverse=True):
+        room -= n
+        if room < 0:
+            break
+        cut = level
+    found = counts.where(F.col("level") >= cut).select("shingle", "level").toArrow()
+    shingles = found["shingle"].to_numpy().view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], (1 + found["level"].to_numpy()[order]).astype(np.uint8)
+
+
+def _levels_of(s, frequent, levels, filled):
+    """The level of each shingle, 0 for those that are not frequent."""
+    import numpy as np
+
+    out = np.zeros(len(s), np.uint8)
+    at = np.flatnonzero(filled[(s >> np.uint64(44)).astype(np.int64)])
+    if len(at):
+        place = np.minimum(np.searchsorted(frequent, s[at]), len(frequent) - 1)
+        out[at] = np.where(frequent[place] == s[at], levels[place], 0)
+    return out
 
 
 def least_overlap(n, percent: int):
@@ -105,17 +148,22 @@ def _features(k: int, percent: int, levels):
     def run(batches):
         import numpy as np
 
-        order = levels.value
+        frequent, level = levels.value
+        filled = np.zeros(1 << 20, bool)
+        filled[(frequent >> np.uint64(44)).astype(np.int64)] = True
+        nth = TaskContext.get().partitionId() << 36
         for batch, sets in _each(batches, k):
+            rows = pa.array(range(nth, nth + len(sets)), pa.int64())
+            nth += len(sets)
             n = [len(s) for s in sets]
             digests = [_digest(s) for s in sets]
             prefixes = []
             for s in sets:
-                ranked = s[np.argsort(order[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")]
-                prefixes.append(ranked[: len(s) - least_overlap(len(s), percent) + MOST_MATCHES].view(np.int64))
+                ranked = s[np.argsort(_levels_of(s, frequent, level, filled), kind="stable")]
+                prefixes.append(ranked[: len(s) - least_overlap(len(s), percent) + most_matches(len(s))].view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([_signed(d >> 64) for d in digests], pa.int64()), pa.array([_signed(d) for d in digests], pa.int64()), prefix], ["doc_id", "n", "d1", "d2", "prefix"])
+            yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array(n, pa.int64()), pa.array([_signed(d >> 64) for d in digests], pa.int64()), pa.array([_signed(d) for d in digests], pa.int64()), prefix], ["row", "doc_id", "n", "d1", "d2", "prefix"])
 
     return run
 
@@ -130,107 +178,119 @@ def _signed(v: int) -> int:
     return (v & (2**64 - 1)) - ((v >> 63 & 1) << 64)
 
 
-def _sets(k: int, wanted):
+def _sets(k: int):
     def run(batches):
         import numpy as np
 
-        bits = np.frombuffer(wanted.value, np.uint8)
-        for batch in batches:
-            at = batch.column(2).to_numpy()
-            some = batch.filter(pa.array(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)))
-            for _, sets in _each([some], k):
-                sets = [x for x in sets if len(x)] or [np.zeros(0, np.uint64)]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-                nodes = pa.array([_signed(_digest(x) >> 64) for x in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([nodes, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "shingles"])
+        for _, sets in _each(batches, k):
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            d = [_digest(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([_signed(x >> 64) for x in d], pa.int64()), pa.array([_signed(x) for x in d], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], ["d1", "d2", "shingles"])
 
     return run
 
 
-def _bit(col) -> F.Column:
-    return F.pmod(F.xxhash64(col), F.lit(1 << FILTER_BITS))
-
-
-def _wanted(spark, ids: DataFrame):
-    """A one-hash Bloom filter of doc_ids, 1 MB whatever their number."""
-    at = ids.select(_bit("rep").alias("bit")).select(F.shiftright("bit", 15).alias("part"), F.col("bit").bitwiseAND(32767).alias("at"))
-    out, size = bytearray((1 << FILTER_BITS) // 8), 32768 // 8
-    for p in at.groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")).collect():
-        out[p["part"] * size : (p["part"] + 1) * size] = p["bits"]
-    return spark.sparkContext.broadcast(bytes(out))
-
-
 def _overlap(n: F.Column, percent: int) -> F.Column:
     return F.floor((n * percent + 99) / 100)
 
 
 def link(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     """docs (doc_id, text) as doc_id, n_shingles, component_id: components of links with 100 * common >= percent * union."""
+    with scratch(docs.sparkSession):
+        return _link(docs, k, percent)
+
+
+def _link(docs: DataFrame, k: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     levels = spark.sparkContext.broadcast(frequency_levels(docs, k))
-    feats = materialize(docs.mapInArrow(_features(k, percent, levels), "doc_id long, n long, d1 long, d2 long, prefix array<long>"), "features")
+    feats = materialize(docs.mapInArrow(_features(k, percent, levels), "row long, doc_id long, n long, d1 long, d2 long, prefix array<long>"), "features")
 
-    # A class is named by half of its set's digest; its smallest doc_id stands for it in the result.
+    # A class is named by one of its rows; its smallest doc_id stands for it in the result. Only rows that may have copies
+    # are shuffled to find them.
     real = feats.where("n > 0 and doc_id is not null")
-    classes = real.groupBy(F.col("d1").alias("node"), "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    classes = materialize(classes, "classes")
-
-    members = classes.select("node", "n", F.posexplode("prefix").alias("at", "shingle"))
+    copied = real.groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.min("row").alias("first"), F.min("doc_id").alias("least")).where("copies > 1")
+    copied = materialize(copied, "copied")
+    held = spark.sparkContext.broadcast(id_filter(copied.select("d1")))
+    single = filtered(real, "d1", held, False).withColumn("rep", F.col("doc_id"))
+    chosen = filtered(real, "d1", held, True).join(copied, ["d1", "d2"], "left").where("first is null or row = first").withColumn("rep", F.coalesce("least", "doc_id"))
+    classes = single.select("row", "d1", "d2", "rep", "n", "prefix").union(chosen.select("row", "d1", "d2", "rep", "n", "prefix")).withColumnRenamed("row", "node")
+    named = materialize(classes.select("node", "d1", "d2", "rep"), "classes")
+
+    members = classes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "shingle"))
     length = members.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     short = F.col("n") - _overlap(F.col("n"), percent)
     lists = materialize(members.join(length, "shingle"), "lists")
     # Estimated candidates of each representative's shortest prefix give its l.
     cost = lists.groupBy("node").agg(F.sum(F.when(F.col("at") <= short, F.col("df") - 1).otherwise(0)).alias("cost"), F.min("n").alias("n"), F.count_if(F.col("df") > SHORT).alias("n_long"))
-    matches = F.least(F.lit(MOST_MATCHES), _overlap(F.col("n"), percent), 2 + F.floor(F.log2(1 + F.col("cost")))).cast("int")
+    matches = F.least(MOST_MATCHES + F.floor(F.col("n") / 32), _overlap(F.col("n"), percent), LEAST_MATCHES + F.floor(F.col("cost") / 4)).cast("int")
     cost = cost.select("node", matches.alias("l"), "n_long")
     lists = lists.join(cost, "node").where(F.col("at") < short + F.col("l"))
     lists = materialize(lists.select("shingle", "node", "n", "l", "df", "n_long"), "chosen_lists")
 
     a, b = (lists.where(F.col("df") <= SHORT).select("shingle", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "l", "n_long")]) for x in "ab")
     sized = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    pairs = a.join(b, "shingle").where((F.col("a_node") < F.col("b_node")) & sized(F.col("a_n"), F.col("b_n")))
-    pairs = pairs.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.count("*").alias("met"), F.min(F.least("a_n_long", "b_n_long")).alias("more"), F.min(F.least("a_l", "b_l")).alias("asked"))
-    pairs = materialize(pairs.where("met + more >= asked").select("a", "b"), "pairs")
-
-    long_lists = materialize(lists.where(F.col("df") > SHORT).select("shingle", "node", "n"), "long_lists")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(long_lists.select("node")).distinct()
-    ids = materialize(classes.join(nodes, "node", "left_semi").select("node", "rep"), "ids")
-    rows = docs.where("doc_id is not null").select("doc_id", "text", _bit("doc_id").alias("bit"))
-    sets = rows.mapInArrow(_sets(k, _wanted(spark, ids)), "node long, shingles array<long>")
-    sets = materialize(sets.join(ids, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    met = a.join(b, "shingle").where((F.col("a_node") < F.col("b_node")) & sized(F.col("a_n"), F.col("b_n")))
+    met = met.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.count("*").alias("met"), F.min(F.least("a_n_long", "b_n_long")).alias("more"), F.min(F.least("a_l", "b_l")).alias("asked"))
+    met = materialize(met, "met")
+
+    # Whoever has candidates asks for LEAST_MATCHES common shingles (a set of 10 or more, so do its partners): with fewer in
+    # long lists, a link shows in a short list too.
+    in_long = (F.col("df") > SHORT) & ((F.col("n_long") >= LEAST_MATCHES) | (F.col("n") < 10))
+    all_long = materialize(lists.where(F.col("df") > SHORT).select("shingle", "node"), "all_long")
+    long_lists = materialize(lists.where(in_long).select("shingle", "node", "n", "l"), "long_lists")
+
+    def enough(pairs: DataFrame) -> DataFrame:
+        """Pairs (a < b, asked) that share as many prefix shingles as asked: those in long lists, and in short ones (met)."""
+        of_a = pairs.join(all_long.withColumnRenamed("node", "a"), "a")
+        common = of_a.join(all_long.withColumnRenamed("node", "b"), ["b", "shingle"]).groupBy("a", "b").agg(F.count("*").alias("common"))
+        counted = pairs.join(common, ["a", "b"], "left").join(met.select("a", "b", "met"), ["a", "b"], "left")
+        return counted.where(F.coalesce("common", F.lit(0)) + F.coalesce("met", F.lit(0)) >= F.col("asked")).select("a", "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """Pairs whose whole sets reach the threshold. Only sets of documents in the pairs are made and shuffled."""
+        pairs = materialize(pairs, "asked_pairs")
+        if pairs.isEmpty():
+            return pairs
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        ids = materialize(named.join(nodes, "node", "left_semi").select("node", "d1", "d2", "rep"), "ids")
+        held = spark.sparkContext.broadcast(id_filter(ids.select("rep")))
+        rows = filtered(docs.where("doc_id is not null and text is not null"), "doc_id", held, True)
+        sets = rows.mapInArrow(_sets(k), "d1 long, d2 long, shingles array<long>").join(ids, ["d1", "d2"]).select("node", "shingles")
+        sets = materialize(sets, "sets")
         of = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_shingles"))
         both = pairs.join(of("b"), "b").join(of("a"), "a")
         n_a, n_b, common = F.size("a_shingles"), F.size("b_shingles"), F.size(F.array_intersect("a_shingles", "b_shingles"))
-        return both.where(100 * common >= percent * (n_a + n_b - common)).select("a", "b")
+        return materialize(both.where(100 * common >= percent * (n_a + n_b - common)).select("a", "b"), "links")
 
-    links = materialize(verified(pairs), "links")
+    links = verified(enough(met.where("met + more >= asked").select("a", "b", "asked")))
     # Several texts under one doc_id are linked by it.
-    several = real.groupBy("doc_id").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a <> b").select("doc_id", "a")
-    links = links.union(real.join(several, "doc_id").select("a", F.col("d1").alias("b")).where("a <> b"))
+    several = real.groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y"), F.min("d2").alias("z"), F.max("d2").alias("w")).where("x <> y or z <> w").select("doc_id")
+    same = real.join(several, "doc_id", "left_semi").select("doc_id", "d1", "d2").join(named, ["d1", "d2"]).select("doc_id", "node")
+    same = same.join(same.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
+    links = links.union(materialize(same, "same_ids"))
     found, hubs = components(links), 1
     while True:
-        known = long_lists.join(found, "node", "left").select("shingle", "node", "n", F.coalesce("comp", "node").alias("comp"))
+        known = long_lists.join(found, "node", "left").select("shingle", "node", "n", "l", F.coalesce("comp", "node").alias("comp"))
         salt = F.pmod(F.xxhash64("node"), F.lit(hubs)) if hubs > 1 else F.lit(0)
         known = known.withColumn("salt", salt)
         open_lists = known.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("shingle")
         known = materialize(known.join(open_lists, "shingle", "left_semi"), "open_lists")
         if known.isEmpty():
             break
-        hub = known.groupBy("shingle", "salt").agg(F.min(F.struct("node", "n", "comp")).alias("hub")).select("shingle", "hub.*").toDF("shingle", "h_node", "h_n", "h_comp")
-        met = known.join(hub, "shingle").where((F.col("comp") != F.col("h_comp")) & sized(F.col("n"), F.col("h_n")))
-        pairs = materialize(met.select(F.col("h_node").alias("a"), F.col("node").alias("b")).distinct(), "hub_pairs")
-        more = materialize(verified(pairs), "hub_links")
+        hub = known.groupBy("shingle", "salt").agg(F.min(F.struct("node", "n", "l", "comp")).alias("hub")).select("shingle", "hub.*").toDF("shingle", "h_node", "h_n", "h_l", "h_comp")
+        pairs = known.join(hub, "shingle").where((F.col("comp") != F.col("h_comp")) & sized(F.col("n"), F.col("h_n")))
+        pairs = pairs.groupBy(F.least("h_node", "node").alias("a"), F.greatest("h_node", "node").alias("b")).agg(F.min(F.least("l", "h_l")).alias("asked"))
+        more = verified(enough(materialize(pairs, "hub_pairs")))
         links = links.union(more)
-        found = components(links)
+        if not more.isEmpty():
+            found = components(links)
         # A hub has met every member of its list.
-        long_lists = materialize(known.select("shingle", "node", "n").join(hub.select("shingle", F.col("h_node").alias("node")), ["shingle", "node"], "left_anti"), "long_lists")
-        hubs *= 4
+        long_lists = materialize(known.select("shingle", "node", "n", "l").join(hub.select("shingle", F.col("h_node").alias("node")), ["shingle", "node"], "left_anti"), "long_lists")
+        hubs *= 8
 
-    named = classes.select("node", "d2", "rep").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    named = named.join(named.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select(F.col("node").alias("d1"), "d2", "component_id")
+    comps = named.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    comps = comps.join(comps.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("d1", "d2", "component_id")
     own = feats.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("d1")).alias("d1"), "d2")
-    out = own.join(named, ["d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = own.join(comps, ["d1", "d2"], "left")
+    return keep(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "linked")
