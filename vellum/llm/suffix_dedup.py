@@ -206,7 +206,8 @@ def repeated(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM, window: i
 
         def several(df: DataFrame, name: str) -> DataFrame:
             """Rows whose name occurs more than once."""
-            counted = df.groupBy(name).agg(F.count("*").alias("n")).where("n > 1").select(name)
+            # Written first: a join of two plain shuffles can split the rows of a hot name over tasks, one with an aggregate can't.
+            counted = materialize(df.groupBy(name).agg(F.count("*").alias("n")).where("n > 1").select(name), f"several_{name}")
             return df.join(counted, name, "left_semi")
 
         ranks = materialize(several(ranks, "rank"), "ranks_1")
