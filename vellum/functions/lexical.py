@@ -58,6 +58,19 @@ def visible(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x00-\x1f\x7f]", "?")
 
 
+def html_lines(html: Column) -> Column:
+    """Lines of a page's text that hold more than white space: block tags break lines, other tags vanish."""
+    broken = F.regexp_replace(html, "(?i)</?(?:p|div|br|li|tr|h[1-6]|title|body)(?:[ /][^>]*)?>", "\n")
+    return F.filter(F.split(F.regexp_replace(broken, "<[^>]*>", ""), "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
+
+
+def citation(text: Column) -> Column:
+    """The first cited annex point, such as Annex XIII (1k): annex, point, letter; empty where a text cites none."""
+    pattern = r"Annex ([IVXLC]+) \(([0-9]+)([a-z]?)\)"
+    part = lambda i: F.regexp_extract(text, pattern, i)
+    return F.struct(part(1).alias("annex"), part(2).alias("point"), part(3).alias("letter"))
+
+
 def number_key(text: Column) -> Column:
     """The first run of digits as a number, for ordering names by value."""
     return F.regexp_extract(text, "([0-9]+)", 1).try_cast("long")

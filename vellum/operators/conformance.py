@@ -109,6 +109,22 @@ def path_prefixes(path: Column) -> Column:
     return F.transform(parts, lambda _, i: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, i + 1), "/")))
 
 
+def tree_depths(edges: DataFrame, node: str, parent: str, is_top: Column) -> DataFrame:
+    """Nodes reachable from those where is_top holds, with their depth (from 1): one join a level, over that level's rows.
+    Nodes in cycles, and below missing parents, are not reached. The lineage is cut at each level where the session names a
+    checkpoint folder."""
+    rows = edges.select(node, parent)
+    level, out, depth = edges.where(is_top).select(node), None, 1
+    while not level.isEmpty():
+        here = level.withColumn("depth", F.lit(depth))
+        out = here if out is None else out.union(here)
+        level = rows.join(level.select(F.col(node).alias(parent)), parent, "left_semi").select(node)
+        if edges.sparkSession.conf.get("spark.checkpoint.dir", None):
+            level = level.checkpoint()
+        depth += 1
+    return out if out is not None else level.withColumn("depth", F.lit(0))
+
+
 def rollup(findings: DataFrame, group: str, severity: str) -> DataFrame:
     """Counts of errors, warnings and notes of a group, whether it passes, and its exit code (1: errors)."""
     of = lambda s: F.count_if(F.col(severity) == s)

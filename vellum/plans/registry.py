@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import lexical as L
 from vellum.operators import conformance as C
+from vellum.streaming import windows as W
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -266,6 +267,60 @@ def coverage_partition(spark, d):
     return t(spark, d, "documents").select("doc_id").join(t(spark, d, "labels"), "doc_id", "left").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
+@query("""SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS nth FROM orders""")
+def reading_order(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey")
+    return t(spark, d, "orders").select("o_orderkey", F.row_number().over(w).alias("nth"))
+
+
+@query("""SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY regexp_extract(c_name, '^([^0-9]*)', 1),
+try_cast(regexp_extract(c_name, '([0-9]+)', 1) AS BIGINT), c_custkey) AS nth FROM customer""")
+def natural_order(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("c_nationkey").orderBy(F.regexp_extract("c_name", "^([^0-9]*)", 1), L.number_key(F.col("c_name")), "c_custkey")
+    return t(spark, d, "customer").select("c_custkey", F.row_number().over(w).alias("nth"))
+
+
+@query(r"""SELECT page_id, list_count(list_filter(string_split(regexp_replace(regexp_replace(html, '</?(?:p|div|br|li|tr|h[1-6]|title|body)(?:[ /][^>]*)?>', chr(10), 'gi'),
+'<[^>]*>', '', 'g'), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))::BIGINT AS n_lines,
+md5(array_to_string(list_filter(string_split(regexp_replace(regexp_replace(html, '</?(?:p|div|br|li|tr|h[1-6]|title|body)(?:[ /][^>]*)?>', chr(10), 'gi'),
+'<[^>]*>', '', 'g'), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')), chr(10))) AS digest FROM pages""")
+def html_lines(spark, d):
+    lines = L.html_lines(F.col("html"))
+    return t(spark, d, "pages").select("page_id", lines.alias("lines")).select("page_id", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("digest"))
+
+
+@query("""SELECT p_partkey, 'XIII' AS annex, (p_partkey % 9 + 1)::VARCHAR AS point, chr((97 + p_partkey % 26)::INTEGER) AS letter FROM part""")
+def citations(spark, d):
+    point, letter = (F.col("p_partkey") % 9 + 1).cast("string"), F.char(97 + F.col("p_partkey") % 26)
+    cited = L.citation(F.concat(F.lit("as Annex XIII ("), point, letter, F.lit(") of the act, and "), "p_name"))
+    return t(spark, d, "part").select("p_partkey", cited.alias("c")).select("p_partkey", "c.*")
+
+
+@query("""SELECT p_type, p_brand, CASE WHEN bool_and(p_size <= 25) THEN 'small' ELSE 'large' END AS side FROM part
+GROUP BY p_type, p_brand HAVING bool_and(p_size <= 25) OR bool_and(p_size > 25)""")
+def profile_diff(spark, d):
+    small = F.col("p_size") <= 25
+    sides = t(spark, d, "part").groupBy("p_type", "p_brand").agg(F.bool_and(small).alias("a"), F.bool_and(~small).alias("b")).where("a or b")
+    return sides.select("p_type", "p_brand", F.when(F.col("a"), "small").otherwise("large").alias("side"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS node, p_partkey // 10 AS parent FROM part WHERE p_partkey > 0),
+w AS (SELECT node, 1 AS depth FROM e WHERE parent = 0 UNION ALL SELECT e.node, w.depth + 1 FROM e JOIN w ON e.parent = w.node) SELECT node, depth FROM w""")
+def tree_depth(spark, d):
+    edges = t(spark, d, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("node"), F.expr("p_partkey div 10").alias("parent"))
+    return C.tree_depths(edges, "node", "parent", F.col("parent") == 0)
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS since, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_windows(spark, d):
+    counted = W.run_available(W.window_counts(W.stream(spark, d, "events"), "ts", "event_type", "1 day", "1 hour"))
+    return counted.select(F.col("since").cast("timestamp_ntz").alias("since"), "event_type", "n")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

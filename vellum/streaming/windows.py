@@ -16,9 +16,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Parquet files of a table as a stream; new files with that name's pattern are picked up."""
-    path = f"{folder}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """A folder's Parquet files of a name as a stream; a stream reads folders, so the name is a filter on its files."""
+    file = f"{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(f"{folder}/{file}").schema).option("pathGlobFilter", file).parquet(folder)
 
 
 def window_counts(events: DataFrame, time: str, key: str, width: str, delay: str) -> DataFrame:
