@@ -10,7 +10,8 @@ or its phrases reach past what all strings assigned to it share (its core: named
 of a string beside the core is at most a window on either side. Anchors that agree on the core and on both sides stand for
 repeated strings; where a core has several sides, every string around it is named by the hash of its sides and counted.
 
-Groups are only counted and joined, never gathered. Names are 64-bit; a string is removed only if the core's name and the
+Groups of equal names are only counted and joined, never gathered; a text's own ranks are one list, as its bytes are one
+value, and ranks outside any core that is longer still are not named again. Names are 64-bit; a string is removed only if the core's name and the
 independent hash of its sides agree.
 
 Rows: null and empty texts have no bytes; texts below `least` bytes lose none. Repeated rows of at least `least` bytes go
@@ -152,6 +153,51 @@ def _scan(least: int, gram: int, window: int):
     return run
 
 
+PAIRS = "doc long, at int, phrases int, name long, core boolean"
+
+
+def _doubled(reach: int):
+    """From ranks of `reach` phrases (doc, held): names of the cores that two of them cover, and ranks of twice as many
+    phrases where an anchor's core still needs them."""
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            rows = batch.column(1).flatten()
+            doc = np.repeat(np.arange(batch.num_rows, dtype=np.int64), batch.column(1).value_lengths().to_numpy())
+            at, phrases, name = (rows.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            some = np.flatnonzero(~rows.field(3).to_numpy(zero_copy_only=False))
+            key = doc[some] << 32 | at[some]
+            some, key = some[np.argsort(key)], np.sort(key)
+            if not len(key):
+                continue
+            n, rank = phrases[some], name[some].view(np.uint64)
+
+            def beyond(which, steps):
+                """Of the anchors numbered `which`: those with a rank that many phrases on, and its number."""
+                to = key[which] + steps
+                found = np.minimum(np.searchsorted(key, to), len(key) - 1)
+                hit = key[found] == to
+                return which[hit], found[hit]
+
+            ready = np.flatnonzero((n >= reach) & (n < 2 * reach))
+            a, b = beyond(ready, n[ready] - reach)
+            core = _mix(rank[a], rank[b], n[a])
+            # Only ranks inside a core that is longer still.
+            longer = np.flatnonzero(n >= 2 * reach)
+            bounds = np.zeros(len(key) + 1, np.int64)
+            np.add.at(bounds, longer, 1)
+            np.add.at(bounds, np.searchsorted(key, key[longer] + n[longer] - 2 * reach, "right"), -1)
+            inside = np.flatnonzero(np.cumsum(bounds[:-1]) > 0)
+            c, d = beyond(inside, reach)
+            out = np.concatenate([a, c])
+            names = np.concatenate([core, _mix(rank[c], rank[d])]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(key[out] >> 32)), pa.array((key[out] & 0xFFFFFFFF).astype(np.int32)), pa.array(n[out].astype(np.int32)), pa.array(names), pa.array(np.arange(len(out)) < len(a))], ["doc", "at", "phrases", "name", "core"])
+
+    return run
+
+
 WINDOWS = "doc long, start long, core long, distance int, name long, weight long, alone boolean"
 
 
@@ -201,32 +247,24 @@ def repeated(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM, window: i
     with scratch(spark):
         scanned = materialize(long_docs.mapInArrow(_scan(least, gram, window), ANCHORS), "anchors")
 
-        exploded = scanned.select("doc", F.posexplode("phrase").alias("at", "rank"), "side", "packed")
-        ranks = exploded.select("doc", "at", "rank", F.element_at("side", F.col("at") + 1).alias("side"), F.element_at("packed", F.col("at") + 1).alias("packed"))
-
-        def several(df: DataFrame, name: str) -> DataFrame:
-            """Rows whose name occurs more than once."""
+        def several(rows: DataFrame, name: str) -> DataFrame:
+            """Rows (doc, at, phrases, name, core) whose name occurs more than once, as one list a text."""
             # Written first: a join of two plain shuffles can split the rows of a hot name over tasks, one with an aggregate can't.
-            counted = materialize(df.groupBy(name).agg(F.count("*").alias("n")).where("n > 1").select(name), f"several_{name}")
-            return df.join(counted, name, "left_semi")
-
-        ranks = materialize(several(ranks, "rank"), "ranks_1")
-        phrases = F.shiftright("packed", 16).bitwiseAND(0xFFFF)
-        cores, reach = None, 1
-        while True:
-            # Anchors whose core has reach to 2 * reach - 1 phrases: its name comes from two ranks that overlap.
-            ready = ranks.where((phrases >= reach) & (phrases < 2 * reach))
-            second = ranks.select("doc", F.col("at").alias("to"), F.col("rank").alias("rank_2"))
-            named = ready.withColumn("to", F.col("at") + phrases.cast("int") - reach).join(second, ["doc", "to"])
-            named = named.select("doc", "at", F.xxhash64("rank", "rank_2", phrases).alias("core"), "side", "packed")
-            named = materialize(several(named, "core"), f"cores_{reach}")
-            cores = named if cores is None else cores.union(named)
-            if ranks.where(phrases >= 2 * reach).isEmpty():
-                break
-            step = ranks.select("doc", (F.col("at") - reach).alias("at"), F.col("rank").alias("rank_2"))
-            pairs = ranks.join(step, ["doc", "at"]).select("doc", "at", F.xxhash64("rank", "rank_2").alias("rank"), "side", "packed")
-            reach *= 2
-            ranks = materialize(several(pairs, "rank"), f"ranks_{reach}")
+            counted = materialize(rows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), f"several_{name}")
+            held = rows.join(counted, "name", "left_semi")
+            return materialize(held.groupBy("doc").agg(F.collect_list(F.struct("at", "phrases", "name", "core")).alias("held")), f"ranks_{name}")
+
+        exploded = scanned.select("doc", F.posexplode("phrase").alias("at", "name"), "packed")
+        phrases = F.shiftright(F.element_at("packed", F.col("at") + 1), 16).bitwiseAND(0xFFFF).cast("int")
+        ranks, reach = several(exploded.select("doc", "at", phrases.alias("phrases"), "name", F.lit(False).alias("core")), "1"), 1
+        lists = scanned.select("doc", F.lit(None).cast("array<struct<at:int,phrases:int,name:bigint,core:boolean>>").alias("held")).limit(0)
+        while not ranks.where(F.exists("held", lambda x: ~x["core"] & (x["phrases"] >= reach))).isEmpty():
+            ranks = several(ranks.mapInArrow(_doubled(reach), PAIRS), str(2 * reach))
+            lists, reach = lists.union(ranks), 2 * reach
+        # A text's sides and places join its cores.
+        cores = lists.select("doc", F.filter("held", lambda x: x["core"]).alias("held")).where(F.size("held") > 0)
+        with_side = F.transform("held", lambda x: F.struct(x["at"].alias("at"), x["name"].alias("core"), F.element_at("side", x["at"] + 1).alias("side"), F.element_at("packed", x["at"] + 1).alias("packed")))
+        cores = materialize(cores.join(scanned.select("doc", "side", "packed"), "doc").select("doc", F.explode(with_side).alias("x")).select("doc", "x.*"), "cores")
 
         groups = materialize(cores.groupBy("core", "side").agg(F.count("*").alias("weight"), F.min(F.struct("doc", "at", "packed")).alias("first")), "groups")
         whole = groups.where("weight > 1").select("core", "side")
