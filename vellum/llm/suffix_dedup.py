@@ -120,6 +120,13 @@ def anchors(data: bytes, least: int, gram: int, window: int):
     return h, place, end, phrases, low, high
 
 
+def _slices(batches, rows: int = 256):
+    """Batches of few rows, so that what a task makes of them at a time stays small."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 ANCHORS = "doc long, d1 long, d2 long, phrase array<long>, side array<long>, packed array<long>"
 
 
@@ -128,7 +135,7 @@ def _scan(least: int, gram: int, window: int):
         import numpy as np
 
         task, nth, met = TaskContext.get().partitionId() << 36, 0, set()
-        for batch in batches:
+        for batch in _slices(batches):
             cols: list[list] = [[] for _ in range(6)]
             for d1, d2, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 nth += 1
@@ -207,7 +214,7 @@ def _strings(least: int):
     def run(batches):
         import numpy as np
 
-        for batch in batches:
+        for batch in _slices(batches):
             cols: list[list] = [[] for _ in range(7)]
             for text, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h = _Hashed(text.encode("utf-8"))
@@ -319,7 +326,7 @@ def digests(docs: DataFrame, **how) -> DataFrame:
     docs, spans = repeated(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), **how)
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             rows = [(i, *cut(t, s)) for i, t, s in zip(*(batch.column(k).to_pylist() for k in range(3)))]
             out = [[r[0] for r in rows], [len(r[1]) for r in rows], [len(r[1]) - len(r[2]) for r in rows], [len(r[3]) for r in rows], [hashlib.sha256(r[2]).hexdigest() for r in rows]]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, [pa.int64()] * 4 + [pa.string()])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
