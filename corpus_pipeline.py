@@ -33,8 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 400-byte strings that occur more than once."""
-    return suffix_dedup.deduplicate(docs)
+    """Texts without the passages of over 50 words, and the 400-byte strings, that occur more than once."""
+    return suffix_dedup.passages(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

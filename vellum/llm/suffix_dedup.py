@@ -1,6 +1,8 @@
 """Removal of repeated byte strings by distributed prefix doubling.
 
 A byte goes if it lies in a string of `least` bytes that also starts anywhere else in the corpus, in the same document too.
+With `words`, the symbols are words instead of bytes (lower-cased, split by ASCII white space, each one hash), and `least`,
+`gram` and `window` count words: `passages` has their values for runs of 51 words.
 
 Positions are thinned first, without losing a string: of each `window` consecutive k-grams the one with the least hash
 (leftmost of ties) is an anchor, so equal strings have the same anchors at the same places. The text between two anchors is
@@ -28,14 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import filtered, id_filter, keep, materialize, scratch
+from vellum.llm.common import filtered, id_filter, keep, materialize, scratch, words_of
 
 LEAST, GRAM, WINDOW = 400, 32, 96
+#: The same in words: passages of over 50 words.
+PASSAGE = {"least": 51, "gram": 11, "window": 20}
 BASE = 0x9E3779B97F4A7C15
 
 
 class _Hashed:
-    """Hashes of substrings of a byte string in constant time each, vectorised: polynomials modulo 2^64."""
+    """Hashes of substrings of a text's bytes (or words) in constant time each, vectorised: polynomials modulo 2^64."""
 
     POWERS: list = []
 
@@ -54,13 +58,18 @@ class _Hashed:
             cls.BYTES = rng.integers(1, 1 << 63, 256, np.uint64)
         return cls.POWERS
 
-    def __init__(self, data: bytes):
+    def __init__(self, text: str, words: bool = False):
         import numpy as np
 
-        up, self.down = self.powers(len(data) + 1)
-        codes = self.BYTES[np.frombuffer(data, np.uint8)]
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(codes * up[: len(data)], out=self.sums[1:])
+        if words:
+            lower = text.lower()
+            codes = _Hashed(lower).of(*word_bounds(lower.encode("utf-8")))
+        else:
+            self.powers(0)
+            codes = self.BYTES[np.frombuffer(text.encode("utf-8"), np.uint8)]
+        up, self.down = self.powers(len(codes) + 1)
+        self.sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes * up[: len(codes)], out=self.sums[1:])
 
     def of(self, lo, hi):
         """Hashes of data[lo:hi] for arrays lo and hi."""
@@ -74,6 +83,16 @@ class _Hashed:
         return h ^ (h >> np.uint64(32))
 
 
+def word_bounds(data: bytes):
+    """Arrays of where each word of a text begins and ends."""
+    import numpy as np
+
+    b = np.frombuffer(data, np.uint8)
+    inside = np.concatenate([[False], (b != 32) & ((b < 9) | (b > 13)), [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
 def _mix(*parts):
     import numpy as np
 
@@ -97,12 +116,13 @@ def window_minima(keys, w: int):
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(data: bytes, least: int, gram: int, window: int):
+def anchors(text: str, least: int, gram: int, window: int, words: bool = False):
     """Arrays over a text's anchors: place, end of the core, phrases in the core, first and last distance of a string's
     start before the anchor (-1: none), and the hashed text."""
     import numpy as np
 
-    h, n, reach = _Hashed(data), len(data), gram + window - 1
+    h, reach = _Hashed(text, words), gram + window - 1
+    n = len(h.sums) - 1
     at = np.arange(n - gram + 1)
     grams = h.of(at, at + gram)
     keys = (grams >> np.uint64(31) << np.uint64(31)) | at.astype(np.uint64)
@@ -130,7 +150,7 @@ def _slices(batches, rows: int = 256):
 ANCHORS = "doc long, d1 long, d2 long, phrase array<long>, side array<long>, packed array<long>"
 
 
-def _scan(least: int, gram: int, window: int):
+def _scan(least: int, gram: int, window: int, words: bool):
     def run(batches):
         import numpy as np
 
@@ -144,7 +164,7 @@ def _scan(least: int, gram: int, window: int):
                     continue
                 if len(met) < 100_000:
                     met.add((d1, d2))
-                h, place, end, phrases, low, high = anchors(text.encode("utf-8"), least, gram, window)
+                h, place, end, phrases, low, high = anchors(text, least, gram, window, words)
                 phrase = _mix(h.of(place[:-1], place[1:]))
                 has = high >= 0
                 lo, hi = np.maximum(low, 0), np.maximum(high, 0)
@@ -208,7 +228,7 @@ def _doubled(reach: int):
 WINDOWS = "doc long, start long, core long, distance int, name long, weight long, alone boolean"
 
 
-def _strings(least: int):
+def _strings(least: int, words: bool):
     """Every string around the anchors of a text: rows of d1, d2, text, anchors (doc, core, packed, end, weight)."""
 
     def run(batches):
@@ -217,7 +237,7 @@ def _strings(least: int):
         for batch in _slices(batches):
             cols: list[list] = [[] for _ in range(7)]
             for text, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = _Hashed(text.encode("utf-8"))
+                h = _Hashed(text, words)
                 for a in some:
                     place, lo, hi = a["packed"] >> 32, a["packed"] >> 8 & 255, a["packed"] & 255
                     d = np.arange(lo, hi + 1)
@@ -242,17 +262,19 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(docs with digests d1 and d2, spans): spans has d1, d2 and an array of (lo, hi) byte ranges to remove, unmerged."""
+def repeated(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM, window: int = WINDOW, words: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(docs with digests d1 and d2, spans): spans has d1, d2 and an array of (lo, hi) byte (or word) ranges to remove,
+    unmerged."""
     if least < gram + 2 * window or window > 255:
         raise ValueError("least must be at least gram + 2 * window, window at most 255")
     spark = docs.sparkSession
     t = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.withColumns({"d1": F.xxhash64(t), "d2": F.xxhash64(F.lit(1), t)})
-    long_docs = docs.where(F.octet_length(t) >= least).select("d1", "d2", F.col("text"))
-    copies = long_docs.select("d1", "d2", F.octet_length("text").cast("long").alias("hi")).groupBy("d1", "d2", "hi").count().where("count > 1").select("d1", "d2", F.lit(0).cast("long").alias("lo"), "hi")
+    size = lambda c: (F.size(words_of(c)) if words else F.octet_length(c)).cast("long")
+    long_docs = docs.where(size(t) >= least).select("d1", "d2", F.col("text"))
+    copies = long_docs.select("d1", "d2", size(F.col("text")).alias("hi")).groupBy("d1", "d2", "hi").count().where("count > 1").select("d1", "d2", F.lit(0).cast("long").alias("lo"), "hi")
     with scratch(spark):
-        scanned = materialize(long_docs.mapInArrow(_scan(least, gram, window), ANCHORS), "anchors")
+        scanned = materialize(long_docs.mapInArrow(_scan(least, gram, window, words), ANCHORS), "anchors")
 
         def several(rows: DataFrame, name: str) -> DataFrame:
             """Rows (doc, at, phrases, name, core) whose name occurs more than once, as one list a text."""
@@ -291,7 +313,7 @@ def repeated(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM, window: i
         # Only texts that may be asked for are shuffled.
         some = filtered(long_docs, "d1", spark.sparkContext.broadcast(id_filter(asked.select("d1"))), True)
         texts = some.groupBy("d1", "d2").agg(F.first("text").alias("text"))
-        strings = materialize(texts.join(asked, ["d1", "d2"]).select("text", "asked").mapInArrow(_strings(least), WINDOWS), "strings")
+        strings = materialize(texts.join(asked, ["d1", "d2"]).select("text", "asked").mapInArrow(_strings(least, words), WINDOWS), "strings")
         again = strings.groupBy("core", "distance", "name").agg(F.sum("weight").alias("n")).where("n > 1").select("core", "distance", "name")
         found = strings.where("alone").join(again, ["core", "distance", "name"], "left_semi").select("doc", F.col("start").alias("lo"), (F.col("start") + least).alias("hi"))
 
@@ -341,7 +363,41 @@ def deduplicate(docs: DataFrame, **how) -> DataFrame:
     """docs with repeated strings cut out of text; n_chars, where present, follows. A character that a cut splits goes."""
     columns = docs.columns
     docs, spans = repeated(docs, **how)
+    return _without(docs, spans, columns)
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """docs without the passages of over 50 words that occur more than once, whatever their case and white space, and
+    without repeated strings of LEAST bytes, which may have fewer words; both are found in the texts as they come. White
+    space behind a passage goes with it."""
+    columns = docs.columns
+    both, of_bytes = repeated(docs)
+    _, of_words = repeated(docs, words=True, **PASSAGE)
+    none = F.lit(None).cast(of_words.schema["spans"].dataType)
+    rows = of_bytes.withColumn("words", none).union(of_words.select("d1", "d2", none, F.col("spans")))
+    spans = rows.groupBy("d1", "d2").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("words")).alias("words"))
+
+    @F.pandas_udf("array<struct<lo:bigint,hi:bigint>>")
+    def in_bytes(texts, spans):
+        def of(text, some):
+            if text is None or some is None:
+                return None
+            data = text.encode("utf-8")
+            starts = [*word_bounds(data)[0].tolist(), len(data)]
+            return [{"lo": starts[x["lo"]], "hi": starts[x["hi"]]} for x in some]
+
+        return texts.combine(spans, of)
+
+    def joined(other: DataFrame) -> DataFrame:
+        return other.withColumn("spans", F.concat("spans", in_bytes("text", "words")))
+
+    return _without(both, spans, columns, joined)
+
+
+def _without(docs: DataFrame, spans: DataFrame, columns: list[str], joined=lambda other: other) -> DataFrame:
+    """docs (with digests) without their spans, in the given columns."""
     clean, other = with_spans(docs, spans)
+    other = joined(other)
 
     @F.pandas_udf("string")
     def kept(texts, spans):
