@@ -29,19 +29,17 @@ def near_misses(values: DataFrame, value: str, vocabulary: DataFrame, word: str,
     """Distinct values that are no word but within max(least, length / share) edits of one: value, word, distance; the
     nearest word, of equals the first in order.
 
-    Values and words meet by their first letter or their last, so no pair of all is made; an edit at both ends of a value is
-    not found.
+    The vocabulary is one array that every task reads, so it must fit in memory; a value meets all words of a length within
+    reach, in its own row.
     """
     distinct = values.select(F.col(value).alias("value")).where("value is not null").distinct()
     words = vocabulary.select(F.col(word).alias("word")).distinct()
     unknown = distinct.join(words.select(F.col("word").alias("value")), "value", "left_anti")
-    keys = lambda c: F.array(F.concat(F.lit("^"), F.lower(F.substring(c, 1, 1))), F.concat(F.lit("$"), F.lower(F.substring(c, -1, 1))))
-    a = unknown.select("value", F.explode(keys(F.col("value"))).alias("key"))
-    b = words.select("word", F.explode(keys(F.col("word"))).alias("key"))
     reach = F.greatest(F.lit(least), F.floor(F.length("value") / share).cast("int"))
-    pairs = a.join(b, "key").select("value", "word", F.levenshtein("value", "word").alias("distance"), reach.alias("reach"))
-    pairs = pairs.where(F.col("distance") <= F.col("reach"))
-    return pairs.groupBy("value").agg(F.min(F.struct("distance", "word")).alias("x")).select("value", "x.word", "x.distance")
+    rows = unknown.select("value", reach.alias("reach")).crossJoin(F.broadcast(words.agg(F.collect_set("word").alias("words"))))
+    near = F.filter("words", lambda w: F.abs(F.length(w) - F.length("value")) <= F.col("reach"))
+    best = F.array_min(F.transform(near, lambda w: F.struct(F.levenshtein(F.col("value"), w).alias("distance"), w.alias("word"))))
+    return rows.select("value", "reach", best.alias("x")).where("x.distance <= reach").select("value", "x.word", "x.distance")
 
 
 def dangling(rows: DataFrame, key: str, targets: DataFrame, target_key: str) -> DataFrame:
