@@ -14,9 +14,11 @@ SPACE = r"[\x20\x09-\x0D]"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a new local one where it is unset (tests, local mode)."""
+    """The shared folder named in spark.checkpoint.dir; a new local one where it is unset in local mode, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="vellum-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -58,8 +60,14 @@ def keep(df: DataFrame, name: str) -> DataFrame:
         _FOLDERS[:] = held
 
 
-def id_filter(ids: DataFrame, bits: int = 23) -> bytes:
-    """A one-hash Bloom filter of the only (long) column, 2^bits bits whatever the number of rows."""
+#: Bits of a filter of ids: 8 for each id, within these bounds (8 KB to 16 MB).
+FILTER_BITS = 16, 27
+
+
+def id_filter(ids: DataFrame) -> bytes:
+    """A one-hash Bloom filter of the only (long) column. Beyond 2^24 ids more and more others pass it, which costs shuffle
+    but changes no result: whatever passes is joined exactly."""
+    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], (8 * ids.count()).bit_length()))
     bit = F.pmod(F.xxhash64(ids.columns[0]), F.lit(1 << bits))
     at = ids.select(bit.alias("bit")).select(F.shiftright("bit", 15).alias("part"), F.col("bit").bitwiseAND(32767).alias("at"))
     out, size = bytearray((1 << bits) // 8), 32768 // 8
@@ -68,18 +76,23 @@ def id_filter(ids: DataFrame, bits: int = 23) -> bytes:
     return bytes(out)
 
 
+def bit_test(held: bytes, hashes):
+    """Which of an Arrow array of xxhash64 values may be in a filter, as a numpy array."""
+    import numpy as np
+
+    table = np.frombuffer(held, np.uint8)
+    at = hashes.to_numpy() & (8 * len(table) - 1)
+    return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def filtered(df: DataFrame, column: str, held, inside: bool) -> DataFrame:
     """Rows of df whose (long) column may be in a broadcast filter, or surely isn't. No shuffle."""
     import pyarrow as pa
 
     def run(batches):
-        import numpy as np
-
-        table = np.frombuffer(held.value, np.uint8)
         for batch in batches:
-            at = batch.column(0).to_numpy() & (8 * len(table) - 1)
-            hit = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-            yield batch.filter(pa.array((hit == 1) == inside)).select(range(1, batch.num_columns))
+            hit = bit_test(held.value, batch.column(0))
+            yield batch.filter(pa.array(hit == inside)).select(range(1, batch.num_columns))
 
     rows = df.select(F.xxhash64(column).alias("__hash"), *[F.col(f"`{c}`") for c in df.columns])
     return rows.mapInArrow(run, df.schema)

@@ -1,19 +1,25 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 A document is its set of distinct k-word shingles. Sets are ordered by an estimate of their shingles' frequency, rarest
-first: every document is counted, task by task, and the corpus's most frequent shingles (a fixed number) have a level. Two sets whose Jaccard similarity reaches the threshold share at
-least l shingles among their first |set| - t + l, for every l up to t = ceil(threshold * |set|), so each document's l grows
-with its estimated candidates (how many documents stand in the lists of its shortest prefix): a longer prefix, and as many
-more shared prefix shingles asked for before a pair is verified on whole sets.
+first: the corpus's most frequent shingles (a fixed number) have a level, all others come before them by their hash. Two
+sets whose Jaccard similarity reaches the threshold share at least l shingles among their first |set| - t + l, for every l
+up to t = ceil(threshold * |set|).
 
-Copies of one set are one class, represented by its smallest doc_id. Short prefix lists are paired whole, rows bounded by
-their length. In long lists a growing number of hubs is paired with the members of other components found so far; a hub is
+Each document has its own l. It grows with the estimated candidates (the lengths of the lists that its prefix stands in), and
+until fewer than l of its prefix shingles have long lists: then any partner shares a shingle with a short list too, so long
+lists need not be read for it. Pairs that share as many prefix shingles as the smaller l asks are verified on whole sets.
+Short lists are paired whole, rows bounded by their length, so candidates grow in proportion to the documents.
+
+Documents with long lists throughout their longest prefix are dense: members of large groups of near copies. Among them
+alone long lists are read: a growing number of hubs is paired with the members of other components found so far; a hub is
 then done and leaves the list, and lists inside one component are dropped, so a large group of near copies costs its size,
 not its square, and no link that joins two components is lost.
 
+Copies of one set are one class, represented by its smallest doc_id.
+
 Rows: null texts and texts without words have an empty set and are linked with nothing. Fewer words than k are one shingle.
-Rows with one doc_id are one document for linking. A null doc_id is returned with a null component and not linked. An empty
-table gives an empty result. Other columns are not read.
+Rows with one doc_id are one document for linking. A null doc_id is returned with a null component and not linked. Very long
+texts are one row's array of 64-bit hashes. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,13 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import filtered, id_filter, keep, materialize, scratch
+from vellum.llm.common import bit_test, filtered, id_filter, keep, materialize, scratch
 from vellum.llm.components import components
 
 #: Shingles that have a frequency level, at most (1.2 MB).
 FREQUENT = 1 << 17
 #: Shingles counted at a time in a task; those met once among them are not passed on.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
+#: Bytes of text whose words are hashed at a time.
+SEGMENT = 1 << 18
 #: Lists up to this length are paired whole.
 SHORT = 12
 LEAST_MATCHES, MOST_MATCHES = 3, 6
@@ -40,45 +48,104 @@ def most_matches(n):
     return MOST_MATCHES + n // 32
 
 
-#: Words kept with their hashes by one Python worker.
-CACHE_WORDS = 500_000
-_WORDS: dict = {}
+def least_overlap(n, percent: int):
+    return (n * percent + 99) // 100
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def listed(n, percent: int):
+    """The l up to which a set's prefix is listed: the largest of any set that it can be linked with."""
+    return most_matches(100 * n // percent)
+
+
+def _mixed(h):
+    import numpy as np
 
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < CACHE_WORDS:
-            self[word] = h
-        return h
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h
 
 
-def shingle_set(text: str | None, k: int):
-    """Sorted distinct 64-bit hashes of a text's k-word shingles."""
+class _Words:
+    """64-bit hashes of the words of a piece of text, all at once: polynomials of their bytes, from running sums."""
+
+    BASE = 0x9E3779B97F4A7C15
+    powers: list = []
+
+    @classmethod
+    def hashes(cls, data: bytes):
+        """(hashes, where each word begins), words being runs of bytes other than ASCII white space."""
+        import numpy as np
+
+        b = np.frombuffer(data, np.uint8)
+        inside = np.zeros(len(b) + 2, bool)
+        np.logical_and(b != 32, (b < 9) | (b > 13), out=inside[1:-1])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        lo, hi = edges[::2], edges[1::2]
+        if not cls.powers or len(cls.powers[0]) <= len(b):
+            size = max(2 * SEGMENT, len(b) + 1)
+            ups = [np.full(size, np.uint64(x), np.uint64) for x in (cls.BASE, pow(cls.BASE, -1, 1 << 64))]
+            for up in ups:
+                up[0] = 1
+                np.multiply.accumulate(up, out=up)
+            # A very long text's tables are not held.
+            if size == 2 * SEGMENT:
+                cls.powers = ups
+        else:
+            ups = cls.powers
+        codes = np.random.Generator(np.random.PCG64(1)).integers(1, 1 << 63, 256, np.uint64)
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(codes[b] * ups[0][: len(b)], out=sums[1:])
+        return _mixed((sums[hi] - sums[lo]) * ups[1][lo] + (hi - lo).astype(np.uint64)), lo
+
+
+def shingle_sets(texts: list[str | None], k: int) -> list:
+    """Sorted distinct 64-bit hashes of each text's k-word shingles."""
     import numpy as np
 
-    words = text.encode("utf-8").lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashes = _WORDS.setdefault("words", _Hashes())
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    k = min(k, len(w))
-    h = np.full(len(w) - k + 1, k, np.uint64)
-    for i in range(k):
-        h = (h ^ w[i : len(w) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-    return np.unique(h)
-
-
-def _each(batches, k: int, rows: int = 512):
+    out: list = []
+    held: list[bytes] = []
+    size = 0
+
+    def put():
+        nonlocal held, size
+        ends = np.cumsum([len(t) + 1 for t in held])
+        w, at = _Words.hashes(b"\n".join(held))
+        upto = np.searchsorted(at, ends)
+        rolled = np.full(len(w), k, np.uint64)
+        for i in range(k):
+            rolled[: len(w) - i] = _mixed((rolled[: len(w) - i] ^ w[i:]) * np.uint64(_Words.BASE))
+        first = 0
+        for last in upto.tolist():
+            n = last - first
+            if n >= k:
+                s = np.sort(rolled[first : last - k + 1])
+                s = s[np.concatenate([[True], s[1:] != s[:-1]])]
+            else:
+                # The whole sequence, with its length.
+                s = np.zeros(min(n, 1), np.uint64)
+                for x in w[first:last]:
+                    s = _mixed((s ^ x ^ np.uint64(n)) * np.uint64(_Words.BASE))
+            out.append(s)
+            first = last
+        held, size = [], 0
+
+    for t in texts:
+        data = t.encode("utf-8").lower() if t else b""
+        if held and size + len(data) > SEGMENT:
+            put()
+        held.append(data)
+        size += len(data) + 1
+    if held:
+        put()
+    return out
+
+
+def _each(batches, k: int, rows: int = 256):
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             some = batch.slice(lo, rows)
-            yield some, [shingle_set(t, k) for t in some.column(1).to_pylist()]
+            yield some, shingle_sets(some.column(1).to_pylist(), k)
 
 
 def _count(k: int):
@@ -97,7 +164,7 @@ def _count(k: int):
             for s in sets:
                 d = _digest(s)
                 if d not in met:  # copies count once in a task
-                    if len(met) < 200_000:
+                    if len(met) < 50_000:
                         met.add(d)
                     held.append(s)
                     size += len(s)
@@ -140,11 +207,12 @@ def _levels_of(s, frequent, levels, filled):
     return out
 
 
-def least_overlap(n, percent: int):
-    return (n * percent + 99) // 100
+FEATURES = "row long, doc_id long, n long, d1 long, d2 long, plain int, prefix array<long>"
 
 
 def _features(k: int, percent: int, levels):
+    """plain: how many of the prefix, its first ones, have no level."""
+
     def run(batches):
         import numpy as np
 
@@ -157,13 +225,18 @@ def _features(k: int, percent: int, levels):
             nth += len(sets)
             n = [len(s) for s in sets]
             digests = [_digest(s) for s in sets]
-            prefixes = []
+            prefixes, plain = [], []
             for s in sets:
-                ranked = s[np.argsort(_levels_of(s, frequent, level, filled), kind="stable")]
-                prefixes.append(ranked[: len(s) - least_overlap(len(s), percent) + most_matches(len(s))].view(np.int64))
+                lev = _levels_of(s, frequent, level, filled)
+                size = len(s) - least_overlap(len(s), percent) + listed(len(s), percent)
+                first = s[lev == 0][:size]
+                plain.append(len(first))
+                if len(first) < size:
+                    first = s[np.argsort(lev, kind="stable")[:size]]
+                prefixes.append(first.view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes)))
-            yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array(n, pa.int64()), pa.array([_signed(d >> 64) for d in digests], pa.int64()), pa.array([_signed(d) for d in digests], pa.int64()), prefix], ["row", "doc_id", "n", "d1", "d2", "prefix"])
+            yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array(n, pa.int64()), pa.array([_signed(d >> 64) for d in digests], pa.int64()), pa.array([_signed(d) for d in digests], pa.int64()), pa.array(plain, pa.int32()), prefix], ["row", "doc_id", "n", "d1", "d2", "plain", "prefix"])
 
     return run
 
@@ -178,33 +251,52 @@ def _signed(v: int) -> int:
     return (v & (2**64 - 1)) - ((v >> 63 & 1) << 64)
 
 
-def _sets(k: int):
+def _sets(k: int, held):
+    """Sets of the texts (hash of doc_id, text) that a filter of ids may hold."""
+
     def run(batches):
         import numpy as np
 
-        for _, sets in _each(batches, k):
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            d = [_digest(x) for x in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([_signed(x >> 64) for x in d], pa.int64()), pa.array([_signed(x) for x in d], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], ["d1", "d2", "shingles"])
+        for batch in batches:
+            batch = batch.filter(pa.array(bit_test(held.value, batch.column(0))))
+            for _, sets in _each([batch], k):
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                d = [_digest(x) for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array([_signed(x >> 64) for x in d], pa.int64()), pa.array([_signed(x) for x in d], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], ["d1", "d2", "shingles"])
 
     return run
 
 
-def _overlap(n: F.Column, percent: int) -> F.Column:
-    return F.floor((n * percent + 99) / 100)
-
-
 def link(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     """docs (doc_id, text) as doc_id, n_shingles, component_id: components of links with 100 * common >= percent * union."""
+    if not 1 <= percent <= 100 or k < 1:
+        raise ValueError("percent must be from 1 to 100, k at least 1")
     with scratch(docs.sparkSession):
         return _link(docs, k, percent)
 
 
+def _matches(percent: int) -> tuple[F.Column, F.Column]:
+    """(l, prefix shingles with long lists) of a set with n, plain and entries (at, shingle, df); l is null if none will do."""
+    n, plain = F.col("n"), F.col("plain")
+    t = F.floor((n * percent + 99) / 100).cast("int")
+    short = (n - t).cast("int")
+    most = F.least(F.lit(MOST_MATCHES) + F.floor(n / 32).cast("int"), t)
+    entries = F.coalesce("entries", F.array().cast("array<struct<at:int,shingle:bigint,df:bigint>>"))
+    far = F.transform(F.filter(entries, lambda x: x["df"] > SHORT), lambda x: x["at"])
+    n_long = lambda l: F.size(F.filter(far, lambda x: x < short + l)) + F.greatest(short + l - plain, F.lit(0))
+    cost = F.aggregate(F.filter(entries, lambda x: (x["at"] < short + LEAST_MATCHES) & (x["df"] <= SHORT)), F.lit(0).cast("long"), lambda s, x: s + x["df"] - 1)
+    wanted = F.least(most, F.lit(LEAST_MATCHES) + F.floor(cost / 4).cast("int"))
+    first = lambda lo, spare: F.get(F.filter(F.sequence(lo, most), lambda l: n_long(l) + spare <= l), F.lit(0))
+    # Two short lists are better than one: fewer pairs meet by chance.
+    l = F.coalesce(first(wanted, 2), first(F.least(most, F.lit(LEAST_MATCHES)), 2), first(F.lit(1), 1))
+    return l, n_long
+
+
 def _link(docs: DataFrame, k: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     levels = spark.sparkContext.broadcast(frequency_levels(docs, k))
-    feats = materialize(docs.mapInArrow(_features(k, percent, levels), "row long, doc_id long, n long, d1 long, d2 long, prefix array<long>"), "features")
+    feats = materialize(docs.mapInArrow(_features(k, percent, levels), FEATURES), "features")
 
     # A class is named by one of its rows; its smallest doc_id stands for it in the result. Only rows that may have copies
     # are shuffled to find them.
@@ -212,78 +304,76 @@ def _link(docs: DataFrame, k: int, percent: int) -> DataFrame:
     copied = real.groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.min("row").alias("first"), F.min("doc_id").alias("least")).where("copies > 1")
     copied = materialize(copied, "copied")
     held = spark.sparkContext.broadcast(id_filter(copied.select("d1")))
+    names = ["row", "d1", "d2", "rep", "n", "plain", "prefix"]
     single = filtered(real, "d1", held, False).withColumn("rep", F.col("doc_id"))
     chosen = filtered(real, "d1", held, True).join(copied, ["d1", "d2"], "left").where("first is null or row = first").withColumn("rep", F.coalesce("least", "doc_id"))
-    classes = single.select("row", "d1", "d2", "rep", "n", "prefix").union(chosen.select("row", "d1", "d2", "rep", "n", "prefix")).withColumnRenamed("row", "node")
-    named = materialize(classes.select("node", "d1", "d2", "rep"), "classes")
+    classes = materialize(single.select(*names).union(chosen.select(*names)).withColumnRenamed("row", "node"), "classes")
+    named = classes.select("node", "d1", "d2", "rep")
 
-    members = classes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "shingle"))
+    # One shuffle by shingle serves the counts and their join. Shingles with a level are long without being counted.
+    members = classes.select("node", F.posexplode(F.slice("prefix", 1, F.col("plain"))).alias("at", "shingle")).repartition("shingle")
     length = members.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-    short = F.col("n") - _overlap(F.col("n"), percent)
-    lists = materialize(members.join(length, "shingle"), "lists")
-    # Estimated candidates of each representative's shortest prefix give its l.
-    cost = lists.groupBy("node").agg(F.sum(F.when(F.col("at") <= short, F.col("df") - 1).otherwise(0)).alias("cost"), F.min("n").alias("n"), F.count_if(F.col("df") > SHORT).alias("n_long"))
-    matches = F.least(MOST_MATCHES + F.floor(F.col("n") / 32), _overlap(F.col("n"), percent), LEAST_MATCHES + F.floor(F.col("cost") / 4)).cast("int")
-    cost = cost.select("node", matches.alias("l"), "n_long")
-    lists = lists.join(cost, "node").where(F.col("at") < short + F.col("l"))
-    lists = materialize(lists.select("shingle", "node", "n", "l", "df", "n_long"), "chosen_lists")
-
-    a, b = (lists.where(F.col("df") <= SHORT).select("shingle", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "l", "n_long")]) for x in "ab")
+    entries = members.join(length.hint("shuffle_hash"), "shingle").groupBy("node").agg(F.collect_list(F.struct("at", "shingle", "df")).alias("entries"))
+    l, n_long = _matches(percent)
+    largest = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + MOST_MATCHES + F.floor(F.floor(100 * F.col("n") / percent) / 32)
+    asked = classes.select("node", "n", "plain").join(entries, "node", "left").where(F.col("entries").isNotNull() | (F.col("plain") < F.least(F.col("n"), largest)))
+    asked = materialize(asked.withColumn("own", l), "entries")
+    listed_l = (F.lit(MOST_MATCHES) + F.floor(F.floor(100 * F.col("n") / percent) / 32)).cast("int")
+    asked = asked.withColumn("l", F.coalesce("own", listed_l)).withColumn("n_long", n_long(F.col("l")))
+    short = F.col("n") - F.floor((F.col("n") * percent + 99) / 100)
+    near = F.filter("entries", lambda x: (x["df"] <= SHORT) & (x["at"] < short + F.col("l")))
+    one = asked.select(F.struct(F.col("n").cast("int").alias("n"), "node", F.col("l").cast("int").alias("l"), F.col("n_long").cast("int").alias("n_long")).alias("x"), F.explode(F.transform(near, lambda x: x["shingle"])).alias("shingle"))
+
     sized = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    met = a.join(b, "shingle").where((F.col("a_node") < F.col("b_node")) & sized(F.col("a_n"), F.col("b_n")))
-    met = met.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.count("*").alias("met"), F.min(F.least("a_n_long", "b_n_long")).alias("more"), F.min(F.least("a_l", "b_l")).alias("asked"))
-    met = materialize(met, "met")
-
-    # Whoever has candidates asks for LEAST_MATCHES common shingles (a set of 10 or more, so do its partners): with fewer in
-    # long lists, a link shows in a short list too.
-    in_long = (F.col("df") > SHORT) & ((F.col("n_long") >= LEAST_MATCHES) | (F.col("n") < 10))
-    all_long = materialize(lists.where(F.col("df") > SHORT).select("shingle", "node"), "all_long")
-    long_lists = materialize(lists.where(in_long).select("shingle", "node", "n", "l"), "long_lists")
-
-    def enough(pairs: DataFrame) -> DataFrame:
-        """Pairs (a < b, asked) that share as many prefix shingles as asked: those in long lists, and in short ones (met)."""
-        of_a = pairs.join(all_long.withColumnRenamed("node", "a"), "a")
-        common = of_a.join(all_long.withColumnRenamed("node", "b"), ["b", "shingle"]).groupBy("a", "b").agg(F.count("*").alias("common"))
-        counted = pairs.join(common, ["a", "b"], "left").join(met.select("a", "b", "met"), ["a", "b"], "left")
-        return counted.where(F.coalesce("common", F.lit(0)) + F.coalesce("met", F.lit(0)) >= F.col("asked")).select("a", "b")
+    # A list holds SHORT documents at most.
+    lists = one.groupBy("shingle").agg(F.array_sort(F.collect_list("x")).alias("xs")).where(F.size("xs") > 1)
+    pairs = F.flatten(F.transform("xs", lambda x, i: F.transform(F.filter(F.slice("xs", i + 2, SHORT), lambda y: sized(x["n"], y["n"])), lambda y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"), (F.least(x["l"], y["l"]) - F.least(x["n_long"], y["n_long"])).alias("asked")))))
+    met = lists.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("met"), F.min("p.asked").alias("asked")).where("met >= asked")
+    met = materialize(met.select("a", "b"), "met")
+
+    # Dense documents: their whole prefixes, in lists among themselves.
+    dense = materialize(asked.where("own is null").select("node"), "dense")
+    of_dense = classes.join(dense, "node", "left_semi").select("node", "n", listed_l.alias("l"), F.explode("prefix").alias("shingle"))
+    of_dense = materialize(of_dense, "of_dense")
+
+    # Sets of all documents that may be compared, made in one scan.
+    nodes = met.select(F.explode(F.array("a", "b")).alias("node")).union(dense).distinct()
+    ids = materialize(named.join(nodes, "node", "left_semi"), "ids")
+    held = spark.sparkContext.broadcast(id_filter(ids.select("rep")))
+    rows = docs.where("doc_id is not null and text is not null").select(F.xxhash64("doc_id"), "text")
+    sets = rows.mapInArrow(_sets(k, held), "d1 long, d2 long, shingles array<long>").groupBy("d1", "d2").agg(F.first("shingles").alias("shingles"))
+    sets = materialize(sets.join(ids, ["d1", "d2"]).select("node", "shingles"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs whose whole sets reach the threshold. Only sets of documents in the pairs are made and shuffled."""
-        pairs = materialize(pairs, "asked_pairs")
-        if pairs.isEmpty():
-            return pairs
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        ids = materialize(named.join(nodes, "node", "left_semi").select("node", "d1", "d2", "rep"), "ids")
-        held = spark.sparkContext.broadcast(id_filter(ids.select("rep")))
-        rows = filtered(docs.where("doc_id is not null and text is not null"), "doc_id", held, True)
-        sets = rows.mapInArrow(_sets(k), "d1 long, d2 long, shingles array<long>").join(ids, ["d1", "d2"]).select("node", "shingles")
-        sets = materialize(sets, "sets")
+        """Pairs whose whole sets reach the threshold."""
         of = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_shingles"))
         both = pairs.join(of("b"), "b").join(of("a"), "a")
         n_a, n_b, common = F.size("a_shingles"), F.size("b_shingles"), F.size(F.array_intersect("a_shingles", "b_shingles"))
         return materialize(both.where(100 * common >= percent * (n_a + n_b - common)).select("a", "b"), "links")
 
-    links = verified(enough(met.where("met + more >= asked").select("a", "b", "asked")))
+    links = verified(met)
     # Several texts under one doc_id are linked by it.
     several = real.groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y"), F.min("d2").alias("z"), F.max("d2").alias("w")).where("x <> y or z <> w").select("doc_id")
     same = real.join(several, "doc_id", "left_semi").select("doc_id", "d1", "d2").join(named, ["d1", "d2"]).select("doc_id", "node")
     same = same.join(same.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
     links = links.union(materialize(same, "same_ids"))
-    found, hubs = components(links), 1
+    found, hubs, long_lists = components(links), 1, of_dense
     while True:
         known = long_lists.join(found, "node", "left").select("shingle", "node", "n", "l", F.coalesce("comp", "node").alias("comp"))
-        salt = F.pmod(F.xxhash64("node"), F.lit(hubs)) if hubs > 1 else F.lit(0)
-        known = known.withColumn("salt", salt)
+        known = known.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(hubs)) if hubs > 1 else F.lit(0))
         open_lists = known.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("shingle")
         known = materialize(known.join(open_lists, "shingle", "left_semi"), "open_lists")
         if known.isEmpty():
             break
         hub = known.groupBy("shingle", "salt").agg(F.min(F.struct("node", "n", "l", "comp")).alias("hub")).select("shingle", "hub.*").toDF("shingle", "h_node", "h_n", "h_l", "h_comp")
         pairs = known.join(hub, "shingle").where((F.col("comp") != F.col("h_comp")) & sized(F.col("n"), F.col("h_n")))
-        pairs = pairs.groupBy(F.least("h_node", "node").alias("a"), F.greatest("h_node", "node").alias("b")).agg(F.min(F.least("l", "h_l")).alias("asked"))
-        more = verified(enough(materialize(pairs, "hub_pairs")))
-        links = links.union(more)
+        pairs = materialize(pairs.groupBy(F.least("h_node", "node").alias("a"), F.greatest("h_node", "node").alias("b")).agg(F.min(F.least("l", "h_l")).alias("asked")), "hub_pairs")
+        # Both prefixes hold as many common shingles as asked.
+        of = lambda x: of_dense.select(F.col("node").alias(x), "shingle")
+        common = pairs.join(of("a"), "a").join(of("b"), ["b", "shingle"]).groupBy("a", "b").agg(F.count("*").alias("common"), F.min("asked").alias("asked"))
+        more = verified(materialize(common.where("common >= asked").select("a", "b"), "enough"))
         if not more.isEmpty():
+            links = links.union(more)
             found = components(links)
         # A hub has met every member of its list.
         long_lists = materialize(known.select("shingle", "node", "n", "l").join(hub.select("shingle", F.col("h_node").alias("node")), ["shingle", "node"], "left_anti"), "long_lists")
