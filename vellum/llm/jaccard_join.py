@@ -333,8 +333,7 @@ def _link(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     # Dense documents: their whole prefixes, in lists among themselves.
     dense = materialize(asked.where("own is null").select("node"), "dense")
-    of_dense = classes.join(dense, "node", "left_semi").select("node", "n", listed_l.alias("l"), F.explode("prefix").alias("shingle"))
-    of_dense = materialize(of_dense, "of_dense")
+    of_dense = materialize(classes.join(dense, "node", "left_semi").select("node", "n", F.explode("prefix").alias("shingle")), "of_dense")
 
     # Sets of all documents that may be compared, made in one scan.
     nodes = met.select(F.explode(F.array("a", "b")).alias("node")).union(dense).distinct()
@@ -346,7 +345,8 @@ def _link(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs whose whole sets reach the threshold."""
-        of = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_shingles"))
+        some = sets.join(materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "compared"), "node", "left_semi")
+        of = lambda x: some.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_shingles"))
         both = pairs.join(of("b"), "b").join(of("a"), "a")
         n_a, n_b, common = F.size("a_shingles"), F.size("b_shingles"), F.size(F.array_intersect("a_shingles", "b_shingles"))
         return materialize(both.where(100 * common >= percent * (n_a + n_b - common)).select("a", "b"), "links")
@@ -357,26 +357,29 @@ def _link(docs: DataFrame, k: int, percent: int) -> DataFrame:
     same = real.join(several, "doc_id", "left_semi").select("doc_id", "d1", "d2").join(named, ["d1", "d2"]).select("doc_id", "node")
     same = same.join(same.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
     links = links.union(materialize(same, "same_ids"))
-    found, hubs, long_lists = components(links), 1, of_dense
+    found, hubs, long_lists, first = components(links), 1, of_dense, True
     while True:
-        known = long_lists.join(found, "node", "left").select("shingle", "node", "n", "l", F.coalesce("comp", "node").alias("comp"))
+        known = long_lists.join(found, "node", "left").select("shingle", "node", "n", F.coalesce("comp", "node").alias("comp"))
         known = known.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(hubs)) if hubs > 1 else F.lit(0))
         open_lists = known.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("shingle")
         known = materialize(known.join(open_lists, "shingle", "left_semi"), "open_lists")
         if known.isEmpty():
             break
-        hub = known.groupBy("shingle", "salt").agg(F.min(F.struct("node", "n", "l", "comp")).alias("hub")).select("shingle", "hub.*").toDF("shingle", "h_node", "h_n", "h_l", "h_comp")
+        hub = known.groupBy("shingle", "salt").agg(F.min(F.struct("node", "n", "comp")).alias("hub")).select("shingle", "hub.*").toDF("shingle", "h_node", "h_n", "h_comp")
         pairs = known.join(hub, "shingle").where((F.col("comp") != F.col("h_comp")) & sized(F.col("n"), F.col("h_n")))
-        pairs = materialize(pairs.groupBy(F.least("h_node", "node").alias("a"), F.greatest("h_node", "node").alias("b")).agg(F.min(F.least("l", "h_l")).alias("asked")), "hub_pairs")
-        # Both prefixes hold as many common shingles as asked.
-        of = lambda x: of_dense.select(F.col("node").alias(x), "shingle")
-        common = pairs.join(of("a"), "a").join(of("b"), ["b", "shingle"]).groupBy("a", "b").agg(F.count("*").alias("common"), F.min("asked").alias("asked"))
-        more = verified(materialize(common.where("common >= asked").select("a", "b"), "enough"))
+        pairs = pairs.groupBy("node", "h_node").agg(F.count("*").alias("lists"))
+        if first:
+            # Each document with the hub that it shares most lists with: that joins most of a group at once.
+            pairs = pairs.groupBy("node").agg(F.max_by("h_node", F.struct("lists", "h_node")).alias("h_node"))
+        more = verified(materialize(pairs.select(F.least("h_node", "node").alias("a"), F.greatest("h_node", "node").alias("b")).distinct(), "hub_pairs"))
         if not more.isEmpty():
             links = links.union(more)
             found = components(links)
+        if first:
+            first = False
+            continue
         # A hub has met every member of its list.
-        long_lists = materialize(known.select("shingle", "node", "n", "l").join(hub.select("shingle", F.col("h_node").alias("node")), ["shingle", "node"], "left_anti"), "long_lists")
+        long_lists = materialize(known.select("shingle", "node", "n").join(hub.select("shingle", F.col("h_node").alias("node")), ["shingle", "node"], "left_anti"), "long_lists")
         hubs *= 8
 
     comps = named.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
