@@ -1,4 +1,7 @@
-"""Corpus pipeline: quality rules, near-duplicate removal, repeated passages, benchmark passages, packing."""
+"""Corpus pipeline: quality rules, near-duplicate removal, repeated passages, benchmark passages, packing.
+
+Each stage keeps all columns, whatever their names, and gives an empty table for an empty one. Null texts fail the quality
+rules, so they go in the first stage; later ones keep them. Very long texts are judged whole."""
 
 from __future__ import annotations
 
@@ -6,30 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import decontaminate, jaccard_join, packing, quality_rules, suffix_dedup
-from vellum.llm.common import keep, scratch, where_computed
+from vellum.llm.common import filtered, id_filter, keep, scratch, where_computed
 from vellum.llm.entry import learned_rules, word_vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the learned list rejects."""
-    judged = quality_rules.judge(docs, learned_rules(spark, sf_dir), prefix="__")
-    return where_computed(judged, F.col("__kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), "text")
+    judged = quality_rules.judge(packed, learned_rules(spark, sf_dir))
+    return where_computed(judged, F.col("kept")).select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word shingle sets with a similarity of 0.8 or more: the smallest doc_id, and
-    of several rows with that doc_id the one with the smallest text hash. Documents with a null doc_id stay."""
-    linked = jaccard_join.link(docs, k=5, percent=80)
-    # Ids that go: members of a component other than its representative.
-    gone = linked.where("doc_id <> component_id").select("doc_id").distinct()
+    """One document of each component of five-word shingle sets with a similarity of 0.8 or more: the one with the smallest
+    doc_id (nulls last), of several texts with that doc_id the one with the smallest hash, of equal rows any one. Documents
+    are told apart by their texts, so null and repeated doc_ids don't matter; texts without words stay."""
+    key = F.xxhash64("text")
     with scratch(spark):
-        again = keep(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("text")).alias("least")).where("n > 1"), "again")
-    once = docs.join(gone, "doc_id", "left_anti")
-    if again.isEmpty():
-        return once
-    several = once.join(again, "doc_id", "left").where(F.col("n").isNull() | (F.xxhash64("text") == F.col("least")))
-    apart = several.where("n is null").select(*docs.columns)
-    return apart.union(several.where("n is not null").dropDuplicates(["doc_id"]).select(*docs.columns))
+        linked = jaccard_join.link(docs.select(key.alias("doc_id"), "text"), k=5, percent=80).where("n_shingles > 0")
+        several = linked.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+        several = linked.join(several, "component_id", "left_semi").select(F.col("doc_id").alias("key"), "component_id").distinct()
+        several = keep(several, "several")
+    # Only rows that may have near copies are shuffled.
+    held = spark.sparkContext.broadcast(id_filter(several.select("key")))
+    packed = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    alone, other = (filtered(packed, "key", held, inside) for inside in (False, True))
+    other = other.join(several, "key", "left")
+    rank = F.struct(F.col("row.doc_id").isNull().alias("none"), F.coalesce("row.doc_id", F.lit(0)).alias("id"), "key")
+    best = other.where("component_id is not null").groupBy("component_id").agg(F.min(rank).alias("best"))
+    chosen = other.join(best, "component_id").where(rank == F.col("best")).groupBy("component_id").agg(F.first("row").alias("row"))
+    kept = alone.select("row").union(other.where("component_id is null").select("row")).union(chosen.select("row"))
+    return kept.select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +48,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an approximate copy of a benchmark passage."""
-    found = decontaminate.occurrences(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents without an approximate copy of a benchmark passage, by their texts: null and repeated doc_ids don't matter."""
+    key = F.xxhash64("text")
+    found = decontaminate.occurrences(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     with scratch(spark):
-        hit = keep(found.select("doc_id").distinct(), "leaks")
-    return docs.join(hit, "doc_id", "left_anti")
+        hit = keep(found.select(F.col("doc_id").alias("key")).distinct(), "leaks")
+    return docs.join(hit, F.xxhash64(docs["text"]) == hit["key"], "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
