@@ -69,8 +69,13 @@ def test_token_files(spark, encode):
         at += r.n_tokens
 
 
-def test_token_counts(spark, encode):
-    docs = [(i, t) for i, t in TEXTS if "endoftext" not in (t or "")]
+def test_token_counts(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(word_vocabulary())
+    tokenizer.encode_special_tokens = True
+    encode = lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
+    docs = TEXTS
     files, order, folder = token_counts.write_flat(table(spark, docs), word_vocabulary())
     for block in (7, 1000, 1 << 20):
         found = token_counts.count_tokens(files, folder, block=block)
@@ -137,8 +142,8 @@ def test_suffix_dedup(spark):
                 t = t[: len(t) // 2] + other[a : a + rnd.randint(5, 80)] + t[len(t) // 2 :]
         docs.append((i, t))
     docs += [(60, None), (61, ""), (62, "a" * 100), (63, "ab" * 60), (64, docs[3][1]), (65, docs[3][1]), (66, "x" * 19 + "a" * 50), (None, "abc" * 40)]
-    got = Counter(tuple(r) for r in suffix_dedup.digests(table(spark, docs).repartition(3), least=20, gram=4, window=6).collect())
-    assert got == Counter(brute_repeats(docs, 20))
+    rows = suffix_dedup.digests(table(spark, docs).repartition(3), least=20, gram=4, window=6).collect()
+    assert Counter(tuple(r)[:5] for r in rows) == Counter(brute_repeats(docs, 20))
     cut = suffix_dedup.deduplicate(table(spark, docs), least=20, gram=4, window=6)
     assert cut.columns == ["doc_id", "text", "row", "path"] and cut.count() == len(docs)
 

@@ -40,13 +40,17 @@ def scratch(spark: SparkSession):
         yield
     finally:
         _FOLDERS.pop()
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, folder)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialize(df: DataFrame, name: str = "", path: str | None = None) -> DataFrame:
     """Cut the lineage: write to the shared folder and read again. Survives lost executors."""
-    path = new_path(df.sparkSession, name)
+    path = path or new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -9,8 +9,8 @@ and the place.
 Benchmark items are few beside texts: they are compiled in blocks of at most `block_chars` characters, each broadcast and
 scanned against all texts, so a larger benchmark means more passes, never a larger broadcast.
 
-Rows: null and empty texts contain nothing. Items of fewer than q characters (normalised) or null are not searched. Repeated
-rows and items are each judged. Empty tables give an empty result. Other columns are not read. Texts of any length are
+Rows: null and empty texts contain nothing; null and empty items are not searched. Items of fewer than q characters
+(normalised) hold no q-gram: they are looked up as whole words without edits. Repeated rows and items are each judged. Empty tables give an empty result. Other columns are not read. Texts of any length are
 scanned whole.
 """
 
@@ -72,7 +72,11 @@ def compiled(items: list[tuple[int, str]], q: int, percent: int) -> dict:
     filled[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
     edits = np.array([budget(len(t), q, percent) for t in texts], np.int64)
     least = np.array([max(1, len(t) + 1 - q - q * e) for t, e in zip(texts, edits)], np.int64)
-    return {"ids": [i for i, _ in items], "texts": texts, "h": h[order], "item": item[order], "place": place[order], "filled": filled, "edits": edits, "least": least, "width": edits + 1}
+    short: dict[int, dict[str, list[int]]] = {}
+    for i, t in enumerate(texts):
+        if 0 < len(t) < q:
+            short.setdefault(t.count(" ") + 1, {}).setdefault(t, []).append(i)
+    return {"short": short, "ids": [i for i, _ in items], "texts": texts, "h": h[order], "item": item[order], "place": place[order], "filled": filled, "edits": edits, "least": least, "width": edits + 1}
 
 
 def align(pattern: str, text: str, most: int) -> tuple[int, int, int] | None:
@@ -106,8 +110,33 @@ def align(pattern: str, text: str, most: int) -> tuple[int, int, int] | None:
     return (int(cost[end]), int(start[end]), end - int(start[end])) if cost[end] <= most else None
 
 
+def whole_words(texts: list[str], b: dict) -> list[tuple]:
+    """The first place of each item of fewer than q characters, as whole words: (document, item, start, length, edits)."""
+    out = []
+    for d, text in enumerate(texts):
+        words, starts = text.split(" "), [0]
+        for w in words:
+            starts.append(starts[-1] + len(w) + 1)
+        for n, known in b["short"].items():
+            met: set = set()
+            for at in range(len(words) - n + 1):
+                run = words[at] if n == 1 else " ".join(words[at : at + n])
+                if run in known and run not in met:
+                    met.add(run)
+                    out += [(d, i, starts[at], len(run), 0) for i in known[run]]
+    return out
+
+
 def scan(doc_ids: list, texts: list[str], b: dict, q: int) -> list[tuple]:
     """Occurrences of a block's items in texts: (doc_id, item_id, start, length, edits) on normalised characters."""
+    found = {(d, i): x for d, i, *x in whole_words(texts, b)} if b["short"] else {}
+    if len(b["h"]):
+        found |= banded(texts, b, q)
+    return [(doc_ids[d], b["ids"][i], *x) for (d, i), x in sorted(found.items())]
+
+
+def banded(texts: list[str], b: dict, q: int) -> dict:
+    """The best occurrence of each longer item in each text: (document, item) to (start, length, edits)."""
     import numpy as np
 
     whole = "\0".join(texts)
@@ -117,7 +146,7 @@ def scan(doc_ids: list, texts: list[str], b: dict, q: int) -> list[tuple]:
     n = np.searchsorted(b["h"], h[at], "right") - lo
     at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
     if not len(at):
-        return []
+        return {}
     which = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
     pos, item, place = np.repeat(at, n), b["item"][which], b["place"][which]
     ends = np.cumsum([len(t) + 1 for t in texts])
@@ -146,7 +175,7 @@ def scan(doc_ids: list, texts: list[str], b: dict, q: int) -> list[tuple]:
             # Neighbouring bands find one occurrence twice; each item is reported once a text, at its best place.
             if key not in out or (place_found[2], place_found[0]) < (out[key][2], out[key][0]):
                 out[key] = place_found
-    return [(doc_ids[d], b["ids"][i], *x) for (d, i), x in sorted(out.items())]
+    return out
 
 
 def _scanner(block, q: int, chars: int = 1_000_000):
@@ -184,7 +213,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, percent: i
 
     # One block at a time is on the driver.
     for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text").toLocalIterator():
-        if len(normal(r["text"])) >= q:
+        if normal(r["text"]):
             items.append((r["item_id"], r["text"]))
             size += len(r["text"])
             if size >= block_chars:

@@ -23,7 +23,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     files, order, folder = token_counts.write_flat(docs, word_vocabulary())
     found = token_counts.count_tokens(files, folder)
-    return order.join(found, ["file_id", "nth"]).select("doc_id", "n_tokens", "ended")
+    # Both sides grow with the corpus, so neither is broadcast.
+    return order.hint("merge").join(found, ["file_id", "nth"]).select("doc_id", "n_tokens", "ended")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ ordered list is a Spark conditional expression.
 Rows: null texts count as empty: all counts 0, base_failed true. Labels without a document, documents without a label and
 null labels teach nothing; a document with several labels counts as bad if any says so. Without both kinds of label the
 list is empty and keeps all. Very long texts stay one row's arrays of 64-bit hashes. Other columns, whatever their names,
-are not read, or kept as they are by `judge`.
+are not read, or kept as they are by `judge` unless they have a name of its results.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ BINS = 32
 
 
 def base_counts(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """df with the base counts (long) as columns named prefix + name."""
+    """df with the base counts (long) as columns named prefix + name; df has no column that begins with __."""
     t = F.coalesce(F.col(text), F.lit(""))
     own = lambda name: f"__{name}"
     # One projection a level: each is used more than once by the next, so it is computed once a row.
@@ -183,11 +183,18 @@ def verdict(rules: list[Rule], of: dict[str, Column]) -> Column:
 
 
 def judge(docs: DataFrame, rules: list[Rule], prefix: str = "", text: str = "text") -> DataFrame:
-    """docs with base counts, base_failed, rule (0: none) and kept, each named prefix + name."""
-    counted = base_counts(docs, text, prefix)
+    """docs with base counts, base_failed, rule (0: none) and kept, each named prefix + name; they replace columns of docs
+    with these names."""
+    new = [prefix + c for c in (*BASE, "base_failed", "rule", "kept")]
+    # Other columns travel in one struct, so that none can clash.
+    old = [c for c in docs.columns if c != text and c not in new]
+    rows = docs.select(F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in old]).alias("row"), F.col(f"`{text}`").alias("text"))
+    counted = base_counts(rows, "text", prefix)
     counted = counted.withColumn(prefix + "base_failed", base_failed(prefix))
-    counted = counted.withColumn(prefix + "rule", verdict(rules, features(text, prefix)).cast("int"))
-    return counted.withColumn(prefix + "kept", ~F.col(prefix + "base_failed") & (F.col(prefix + "rule") == 0))
+    counted = counted.withColumn(prefix + "rule", verdict(rules, features("text", prefix)).cast("int"))
+    counted = counted.withColumn(prefix + "kept", ~F.col(prefix + "base_failed") & (F.col(prefix + "rule") == 0))
+    place = {c: F.col("text").alias(text) if c == text else F.col(f"row.`{c}`") for c in [text, *old]}
+    return counted.select(*[place[c] for c in docs.columns if c in place], *[F.col(f"`{c}`") for c in new])
 
 
 __all__ = ["BASE", "SPACE", "base_counts", "base_failed", "features", "judge", "labelled_sample", "learn", "verdict"]

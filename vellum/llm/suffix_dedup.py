@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import filtered, id_filter, keep, materialize, scratch, words_of
+from vellum.llm.common import delete, filtered, id_filter, keep, materialize, new_path, scratch, words_of
 
 LEAST, GRAM, WINDOW = 400, 32, 96
 #: The same in words: passages of over 50 words.
@@ -263,35 +263,46 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def repeated(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM, window: int = WINDOW, words: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(docs with digests d1 and d2, spans): spans has d1, d2 and an array of (lo, hi) byte (or word) ranges to remove,
-    unmerged."""
+    """(docs as row (a struct of the other columns), text and digests d1 and d2; spans): spans has d1, d2 and an array of
+    (lo, hi) byte (or word) ranges to remove, unmerged."""
     if least < gram + 2 * window or window > 255:
         raise ValueError("least must be at least gram + 2 * window, window at most 255")
     spark = docs.sparkSession
     t = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.withColumns({"d1": F.xxhash64(t), "d2": F.xxhash64(F.lit(1), t)})
+    # Other columns travel in one struct, so that none can clash.
+    other = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    docs = docs.select(F.struct(F.lit(0).alias("__none"), *other).alias("row"), "text", F.xxhash64(t).alias("d1"), F.xxhash64(F.lit(1), t).alias("d2"))
     size = lambda c: (F.size(words_of(c)) if words else F.octet_length(c)).cast("long")
     long_docs = docs.where(size(t) >= least).select("d1", "d2", F.col("text"))
     copies = long_docs.select("d1", "d2", size(F.col("text")).alias("hi")).groupBy("d1", "d2", "hi").count().where("count > 1").select("d1", "d2", F.lit(0).cast("long").alias("lo"), "hi")
     with scratch(spark):
         scanned = materialize(long_docs.mapInArrow(_scan(least, gram, window, words), ANCHORS), "anchors")
+        written: list[str] = []
 
         def several(rows: DataFrame, name: str) -> DataFrame:
-            """Rows (doc, at, phrases, name, core) whose name occurs more than once, as one list a text."""
+            """Rows (doc, at, phrases, name, core) whose name occurs more than once, as one list a text. Tables of the round
+            before go once this one's are written."""
+            before, written[:] = list(written), [new_path(spark, f"ranks_{name}")]
             # Written first: a join of two plain shuffles can split the rows of a hot name over tasks, one with an aggregate can't.
-            counted = materialize(rows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), f"several_{name}")
+            names = new_path(spark, f"several_{name}")
+            counted = materialize(rows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), path=names)
             held = rows.join(counted, "name", "left_semi")
-            return materialize(held.groupBy("doc").agg(F.collect_list(F.struct("at", "phrases", "name", "core")).alias("held")), f"ranks_{name}")
+            held = materialize(held.groupBy("doc").agg(F.collect_list(F.struct("at", "phrases", "name", "core")).alias("held")), path=written[0])
+            for path in (names, *before):
+                delete(spark, path)
+            return held
 
         exploded = scanned.select("doc", F.posexplode("phrase").alias("at", "name"), "packed")
         phrases = F.shiftright(F.element_at("packed", F.col("at") + 1), 16).bitwiseAND(0xFFFF).cast("int")
         ranks, reach = several(exploded.select("doc", "at", phrases.alias("phrases"), "name", F.lit(False).alias("core")), "1"), 1
-        lists = scanned.select("doc", F.lit(None).cast("array<struct<at:int,phrases:int,name:bigint,core:boolean>>").alias("held")).limit(0)
+        cores = scanned.select("doc", F.lit(None).cast("array<struct<at:int,phrases:int,name:bigint,core:boolean>>").alias("held")).limit(0)
         while not ranks.where(F.exists("held", lambda x: ~x["core"] & (x["phrases"] >= reach))).isEmpty():
             ranks = several(ranks.mapInArrow(_doubled(reach), PAIRS), str(2 * reach))
-            lists, reach = lists.union(ranks), 2 * reach
+            found = ranks.select("doc", F.filter("held", lambda x: x["core"]).alias("held")).where(F.size("held") > 0)
+            cores, reach = cores.union(materialize(found, f"cores_{reach}")), 2 * reach
+        for path in written:
+            delete(spark, path)
         # A text's sides and places join its cores.
-        cores = lists.select("doc", F.filter("held", lambda x: x["core"]).alias("held")).where(F.size("held") > 0)
         with_side = F.transform("held", lambda x: F.struct(x["at"].alias("at"), x["name"].alias("core"), F.element_at("side", x["at"] + 1).alias("side"), F.element_at("packed", x["at"] + 1).alias("packed")))
         cores = materialize(cores.join(scanned.select("doc", "side", "packed"), "doc").select("doc", F.explode(with_side).alias("x")).select("doc", "x.*"), "cores")
 
@@ -321,7 +332,7 @@ def repeated(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM, window: i
         return docs, keep(by_text.groupBy("d1", "d2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
 
 
-DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
 
 def cut(text: str | None, spans: list[dict] | None) -> tuple[bytes, bytes, list[tuple[int, int]]]:
@@ -344,19 +355,20 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def digests(docs: DataFrame, **how) -> DataFrame:
-    """docs (doc_id, text) as doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """docs (doc_id, text) as doc_id, n_bytes, n_removed, n_spans, kept_sha256, text (what stays; a character that a cut
+    splits goes)."""
     docs, spans = repeated(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), **how)
 
     def run(batches):
         for batch in _slices(batches):
             rows = [(i, *cut(t, s)) for i, t, s in zip(*(batch.column(k).to_pylist() for k in range(3)))]
-            out = [[r[0] for r in rows], [len(r[1]) for r in rows], [len(r[1]) - len(r[2]) for r in rows], [len(r[3]) for r in rows], [hashlib.sha256(r[2]).hexdigest() for r in rows]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, [pa.int64()] * 4 + [pa.string()])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            out = [[r[0] for r in rows], [len(r[1]) for r in rows], [len(r[1]) - len(r[2]) for r in rows], [len(r[3]) for r in rows], [hashlib.sha256(r[2]).hexdigest() for r in rows], [r[2].decode("utf-8", "ignore") for r in rows]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, [pa.int64()] * 4 + [pa.string()] * 2)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
     clean, other = with_spans(docs, spans)
     zero, t = F.lit(0).cast("long"), F.coalesce(F.col("text"), F.lit(""))
-    same = clean.select("doc_id", F.octet_length(t).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(t, 256).alias("kept_sha256"))
-    return same.union(other.select("doc_id", "text", "spans").mapInArrow(run, DIGEST))
+    same = clean.select("row.doc_id", F.octet_length(t).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(t, 256).alias("kept_sha256"), t.alias("text"))
+    return same.union(other.select("row.doc_id", "text", "spans").mapInArrow(run, DIGEST))
 
 
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
@@ -403,8 +415,12 @@ def _without(docs: DataFrame, spans: DataFrame, columns: list[str], joined=lambd
     def kept(texts, spans):
         return texts.combine(spans, lambda t, s: t if s is None else cut(t, s)[1].decode("utf-8", "ignore"))
 
-    changed = other.withColumn("text", F.when(F.col("spans").isNotNull(), kept("text", "spans")).otherwise(F.col("text")))
+    def named(df: DataFrame, text: F.Column, n_chars: F.Column) -> DataFrame:
+        return df.select(*[text.alias("text") if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in columns])
+
+    n_chars = F.col("row.n_chars") if "n_chars" in columns else F.lit(0)
+    changed = other.withColumn("kept", F.when(F.col("spans").isNotNull(), kept("text", "spans")).otherwise(F.col("text")))
+    length = F.when(F.col("spans").isNotNull(), F.length("kept")).otherwise(n_chars)
     if "n_chars" in columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    names = [F.col(f"`{c}`") for c in columns]
-    return clean.select(*names).union(changed.select(*names))
+        length = length.cast(docs.schema["row"].dataType["n_chars"].dataType)
+    return named(clean, F.col("text"), n_chars).union(named(changed, F.col("kept"), length))

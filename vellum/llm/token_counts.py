@@ -5,7 +5,9 @@ three numbers (how many, the last one's position, tokens); a prefix scan over a
 of the last separator before it and the documents before it; a second scan then emits the documents that end in the block.
 
 What stands after a file's last separator is one more document without an end (`ended` false), whose count lacks the end
-id. Empty files give no rows. A document that holds only its separator has n_tokens 1.
+id. Empty files give no rows. A document that holds only its separator has n_tokens 1, so null and empty texts do. Repeated
+rows and null or repeated doc_ids are written and counted like any other row. Texts that spell the separator are ordinary
+text. Very long texts span blocks and are one document. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from vellum.llm.common import materialize, new_path
 from vellum.llm.files import attempt_path, filesystem, make_folder
 from vellum.llm.tokens import encoded_batches
 
-#: Tokens a block.
-BLOCK = 4 << 20
+#: Tokens a block, and blocks a task where there are many.
+BLOCK, BUNDLE = 4 << 20, 16
 BLOCKS = "file_id long, path string, first long, n long"
 WRITTEN = "file_id long, path string, n_tokens long, doc_ids array<long>"
 
@@ -55,7 +57,7 @@ def write_flat(docs: DataFrame, tokenizer: str, *, end_id: int = 49407, bits: in
     folder = new_path(docs.sparkSession, "flat_tokens")
     make_folder(folder)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    written = materialize(rows.mapInArrow(_writer(tokenizer, end_id, bits, folder), WRITTEN + "").withColumn("chunk", F.monotonically_increasing_id()), "written")
+    written = materialize(rows.mapInArrow(_writer(tokenizer, end_id, bits, folder), WRITTEN).withColumn("chunk", F.monotonically_increasing_id()), "written")
     files = written.groupBy("file_id", "path").agg(F.sum("n_tokens").alias("n_tokens"))
     before = F.sum(F.size("doc_ids")).over(Window.partitionBy("file_id").orderBy("chunk")) - F.size("doc_ids")
     order = written.select("file_id", before.alias("before"), "doc_ids").select("file_id", "before", F.posexplode("doc_ids").alias("at", "doc_id"))
@@ -107,7 +109,9 @@ def count_tokens(files: DataFrame, folder: str, *, end_id: int = 49407, bits: in
     firsts = files.where("n_tokens > 0").select("file_id", "path", "n_tokens", F.explode(F.expr(f"sequence(0L, n_tokens - 1, {block}L)")).alias("first"))
     blocks = firsts.select("file_id", "path", "first", F.least(F.lit(block), F.col("n_tokens") - F.col("first")).alias("n"), (F.col("first") + block >= F.col("n_tokens")).alias("is_last"))
     blocks = materialize(blocks, "blocks")
-    tasks = max(1, blocks.count())
+    # Blocks go to tasks in bundles once there are more of them than tasks.
+    n = blocks.count()
+    tasks = max(1, min(n, max(2 * files.sparkSession.sparkContext.defaultParallelism, n // BUNDLE)))
     dealt = blocks.repartition(tasks)
     summary = dealt.mapInArrow(_summaries(folder, end_id, bits), BLOCKS + ", is_last boolean, n_ends long, last_end long")
     earlier = Window.partitionBy("file_id").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 
 #: Words kept by one Python worker, about 150 bytes each; words beyond are encoded each time they come.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 _ENCODERS: dict = {}
 
 
@@ -30,10 +30,12 @@ class WordEncoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def _parts(self, word: bytes) -> tuple[bytes, ...]:
-        """A word as pieces that the tokenizer separates anyway: letters, then one punctuation mark."""
-        if word.isascii():
-            word = word.lower()
-        if len(word) > 1 and word[-1:] in b".,;:!?" and word[:-1].decode().isalpha():
+        """A word as pieces that the tokenizer separates anyway: ASCII letters, then one punctuation mark. Others stay whole, as
+        lower-casing may change their letters, and so do those that may spell a special token, which is matched as it is."""
+        if not word.isascii() or b"<|" in word:
+            return (word,)
+        word = word.lower()
+        if len(word) > 1 and word[-1:] in b".,;:!?" and word[:-1].isalpha():
             return word[:-1], word[-1:]
         return (word,)
 
