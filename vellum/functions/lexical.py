@@ -1,4 +1,4 @@
-"""Scalar functions on identifiers, dates, URIs and texts, as columns."""
+"""Scalar functions on identifiers, dates, URIs, part names and texts, as columns."""
 
 from __future__ import annotations
 
@@ -7,11 +7,21 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the longest text field of a report, in characters.
 MOST_CHARS = 3000
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words that don't say which attribute a text is about.
+STOPWORDS = (
+    "the a an of for to in on and or by is with as at from its their this that "
+    "information data value values battery batteries"
+).split()
+
+
+def stripped(value: Column) -> Column:
+    return F.regexp_replace(value, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def collapsed(value: Column) -> Column:
-    """Runs of XML white space as one space, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(value, "[ \t\n\r]+", " "), "^ | $", "")
+    """Runs of white space as one space, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(value, r"(?U)[\s\x1c-\x1f]+", " "), "^ | $", "")
 
 
 def leap(year: Column) -> Column:
@@ -19,43 +29,151 @@ def leap(year: Column) -> Column:
 
 
 def is_xs_date(value: Column) -> Column:
-    """Is a text a lexical xs:date: any year of four digits or more (no needless zeros, not 0000), real days, an offset?"""
+    """Is a text a lexical xs:date: any year of four digits or more (no needless zeros, not 0000), real days, an offset of 14
+    hours at most? The year before 1 is -0001, so years with a minus are leap years where the one after is divisible."""
     v = collapsed(value)
-    pattern = r"^(-?(?:[1-9][0-9]{4,}|[0-9]{4}))-([0-9]{2})-([0-9]{2})(Z|[+-](?:(?:0[0-9]|1[0-3]):[0-5][0-9]|14:00))?$"
+    pattern = r"^(-?(?:[1-9][0-9]{3,}|0[0-9]{3}))-([0-9]{2})-([0-9]{2})(Z|[+-](?:(?:0[0-9]|1[0-3]):[0-5][0-9]|14:00))?$"
     part = lambda i: F.regexp_extract(v, pattern, i)
-    # Leap years repeat every 400 years and 10000 is 25 times 400, so the last four digits decide.
-    year = F.substring(F.concat(F.lit("0000"), F.regexp_replace(part(1), "-", "")), -4, 4).cast("int")
+    # Leap years repeat every 400 years and 10000 is 25 times 400, so the last four digits decide, however many there are.
+    last4 = F.coalesce(F.substring(F.concat(F.lit("0000"), F.regexp_replace(part(1), "-", "")), -4, 4).try_cast("int"), F.lit(0))
+    year = F.when(part(1).startswith("-"), F.pmod(last4 - 1, F.lit(10000))).otherwise(last4)
     month, day = F.coalesce(part(2).try_cast("int"), F.lit(0)), F.coalesce(part(3).try_cast("int"), F.lit(0))
     last = F.when(month == 2, F.when(leap(year), 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
-    return F.coalesce(F.regexp_like(v, F.lit(pattern)) & ~F.regexp_like(v, F.lit("^-?0000")) & month.between(1, 12) & day.between(1, 31) & (day <= last), F.lit(False))
+    return F.coalesce(F.regexp_like(v, F.lit(pattern)) & ~F.regexp_like(v, F.lit("^-?0+-")) & month.between(1, 12) & day.between(1, 31) & (day <= last), F.lit(False))
+
+
+def is_irdi(value: Column) -> Column:
+    return F.regexp_like(value, F.lit(r"(?s)^\d{4}[^#]*#[^#]+#[^#]+$"))
 
 
 def normal_identifier(value: Column) -> Column:
-    """An identifier's compared form: trimmed, an IRDI's separators as # and - , upper case for IRDIs, no last slash."""
-    v = F.trim(value)
-    irdi = F.regexp_extract(v, r"^(\d{4})[-/#](\d)[-/#](\w{2}[-#]\w{6})[-#](\w{3})$", 0) != ""
-    return F.when(irdi, F.upper(F.regexp_replace(v, r"^(\d{4})[-/#](\d)[-/#](\w{2})[-#](\w{6})[-#](\w{3})$", "$1-$2#$3-$4#$5"))).otherwise(F.regexp_replace(v, "/$", ""))
+    """An identifier's compared form: trimmed; an IRDI in a urn:irdi: name or in an ECLASS address as the IRDI itself. No
+    other name space, case or escape is read."""
+    v, urn = stripped(value), "urn:irdi:"
+    wrapped = F.replace(F.substring(v, len(urn) + 1, 1 << 30), F.lit("%23"), F.lit("#"))
+    cdp = r"^(?i:https?://api\.eclass-cdp\.com)/(\d{4}-\d)-(\d{2}-[A-Z]{3}\d{3})-(\d{3})/?$"
+    return F.when(v.startswith(urn), F.when(is_irdi(wrapped), wrapped).otherwise(v)).otherwise(F.regexp_replace(v, cdp, "$1#$2#$3"))
+
+
+def version_stem(value: Column) -> Column:
+    """An IRDI without its version (0173-1#01-AHF578#003: 0173-1#01-AHF578); null for values that end in none."""
+    plain = F.regexp_replace(value, r"~\d+", "")
+    pattern = r"(?s)^(.*#.*)#\d+$"
+    return F.when(F.regexp_like(plain, F.lit(pattern)), F.regexp_extract(plain, pattern, 1))
+
+
+def samm_stem(value: Column) -> Column:
+    """A SAMM identifier without its version, null for others."""
+    pattern = r"^(urn:samm:[^#]+):(\d+(?:\.\d+)*)#(.+)$"
+    return F.when(F.regexp_like(value, F.lit(pattern)), F.regexp_replace(value, pattern, "$1#$3"))
+
+
+def candidates(keys: Column) -> Column:
+    """The spellings of a reference with these key values: each, and their join by slashes if there are several."""
+    values = F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: normal_identifier(F.coalesce(k, F.lit(""))))
+    return F.array_distinct(F.when(F.size(values) > 1, F.concat(values, F.array(F.array_join(values, "/")))).otherwise(values))
+
+
+def _last_slash(value: Column) -> tuple[Column, Column]:
+    v = F.regexp_replace(value, "/+$", "")
+    return F.regexp_extract(v, "(?s)^(.*)/[^/]*$", 1), F.regexp_extract(v, "(?s)([^/]*)$", 1)
+
+
+def near_keys(value: Column) -> Column:
+    """Near misses agree in one of these: version stem, SAMM stem, or an IRI's part before its last segment."""
+    iri = F.when(value.contains("://") & (_last_slash(value)[0] != ""), F.concat(F.lit("iri "), _last_slash(value)[0]))
+    return F.array_compact(F.array(F.concat(F.lit("irdi "), version_stem(value)), F.concat(F.lit("samm "), samm_stem(value)), iri))
+
+
+def near_distance(seen: Column, expected: Column) -> Column:
+    """How far one identifier is from another: 0 for another version of it, edits of an IRI's last segment if those are within
+    max(3, a quarter of the expected one); null if it is equal or no near miss."""
+    (head, tail), (of_head, of_tail) = _last_slash(seen), _last_slash(expected)
+    edits = F.levenshtein(tail, of_tail)
+    near = seen.contains("://") & expected.contains("://") & (head != "") & (head == of_head) & (edits <= F.greatest(F.lit(3), F.floor(F.length(of_tail) / 4)))
+    return F.when(seen == expected, F.lit(None)).when(version_stem(seen) == version_stem(expected), 0).when(samm_stem(seen) == samm_stem(expected), 0).when(near, edits).cast("int")
 
 
 def scheme(uri: Column) -> Column:
-    """A URI's scheme in lower case, null without one."""
-    found = F.regexp_extract(uri, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
+    """A URI's scheme in lower case, null without one. One letter is a drive, not a scheme."""
+    found = F.regexp_extract(uri, r"^([A-Za-z][A-Za-z0-9+.-]+):", 1)
     return F.when(found != "", F.lower(found))
 
 
+def ascii_folded(value: Column) -> Column:
+    return F.translate(value, UPPER, LOWER)
+
+
+def unquoted(value: Column) -> Column:
+    """Percent escapes decoded; a % that begins none, and a +, stay."""
+    ready = F.regexp_replace(F.replace(value, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.try_url_decode(ready)
+
+
 def file_name(path: Column) -> Column:
-    """What follows a path's last slash."""
-    return F.regexp_extract(path, r"([^/]*)$", 1)
+    """What follows the last slash or backslash, decoded, ASCII letters in lower case."""
+    return ascii_folded(unquoted(F.regexp_extract(stripped(path), r"(?s)([^/\\]*)$", 1)))
+
+
+def part_name(value: Column) -> Column:
+    """(name, problem) of a part that a value names, one of them null: slashes unified, escapes decoded, dot segments applied."""
+    text = F.replace(value, F.lit("\\"), F.lit("/"))
+    steps = F.filter(F.split(unquoted(text), "/"), lambda s: (s != "") & (s != "."))
+    climbed, empty = F.lit("\x00"), F.array().cast("array<string>")
+    # One element, a NUL, once a step up leaves the package.
+    walk = F.aggregate(steps, empty, lambda done, s: F.when(F.get(done, F.lit(0)).eqNullSafe(climbed), done).when(s != "..", F.concat(done, F.array(s))).when(F.size(done) > 0, F.slice(done, 1, F.size(done) - 1)).otherwise(F.array(climbed)))
+    name = F.array_join(walk, "/")
+    problem = (
+        F.when(value.isNull() | (stripped(value) == ""), "it is empty")
+        .when(text.endswith("/"), "it ends in a separator, so it names a directory and not a part")
+        .when(name == climbed, "it climbs out of the package")
+        .when(name == "", "nothing is left of it once its dot segments are resolved")
+    )
+    return F.struct(F.when(problem.isNull(), name).alias("name"), problem.alias("problem"))
+
+
+def illegal_in_a_segment(text: Column) -> Column:
+    """The distinct ASCII characters, in order, that no segment of a part name may hold."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([\x00-\x7f&&[^A-Za-z0-9\-._~!$&'()*+,;=:@%/]])"))))
+
+
+def is_english(tag: Column) -> Column:
+    return F.coalesce(F.regexp_like(F.lower(tag), F.lit("(?s)^en(-.*)?$")), F.lit(False))
+
+
+def spelt(name: Column) -> Column:
+    """A snake-case name in camel case."""
+    parts = F.split(name, "_")
+    rest = F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30)))
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))
+
+
+def id_short_of(label: Column) -> Column:
+    return F.substring_index(label, " (", 1)
+
+
+def last_components(path: Column, k: int) -> Column:
+    parts = F.filter(F.split(path, r"[/\\]"), lambda p: p != "")
+    return F.array_join(F.slice(parts, F.greatest(F.size(parts) - k + 1, F.lit(1)), k), "/")
+
+
+def split_references(text: Column) -> Column:
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[\n;]+"), stripped), lambda x: x != "")
 
 
 def bounded(text: Column, most: int = MOST_CHARS) -> Column:
-    """A text of at most `most` characters, its end cut where it is longer."""
-    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 1), F.lit("…"))).otherwise(text)
+    """A text of at most `most` characters; where it is longer, its end says how many are not shown."""
+    marker = F.concat(F.lit("... ("), (F.length(text) - most).cast("string"), F.lit(" more characters, not shown)"))
+    return F.when(F.length(text) > most, F.concat(F.substring(text, F.lit(1), F.lit(most) - F.length(marker)), marker)).otherwise(text)
 
 
 def visible(text: Column) -> Column:
-    """A text with control characters as question marks."""
-    return F.regexp_replace(text, r"[\x00-\x1f\x7f]", "?")
+    """A text with control characters but tabs as \\xNN."""
+    codes = [*range(9), *range(10, 32), *range(127, 160)]
+    # Looked up only in texts that hold one.
+    table = F.create_map(*[F.lit(x) for c in codes for x in (chr(c), f"\\x{c:02x}")])
+    shown = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.when(F.regexp_like(text, F.lit(r"[\x00-\x08\x0a-\x1f\x7f-\x9f]")), shown).otherwise(text)
 
 
 def html_lines(html: Column) -> Column:
@@ -64,13 +182,37 @@ def html_lines(html: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(broken, "<[^>]*>", ""), "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
 
 
-def citation(text: Column) -> Column:
-    """The first cited annex point, such as Annex XIII (1k): annex, point, letter; empty where a text cites none."""
-    pattern = r"Annex ([IVXLC]+) \(([0-9]+)([a-z]?)\)"
-    part = lambda i: F.regexp_extract(text, pattern, i)
-    return F.struct(part(1).alias("annex"), part(2).alias("point"), part(3).alias("letter"))
-
-
-def number_key(text: Column) -> Column:
-    """The first run of digits as a number, for ordering names by value."""
-    return F.regexp_extract(text, "([0-9]+)", 1).try_cast("long")
+def citations(text: Column) -> Column:
+    """Every provision that a text names, as sorted keys: annex-xiii:1.k, annex-vi-a:3, article:14.2."""
+    t = F.coalesce(text, F.lit(""))
+
+    def found(pattern: str, form) -> Column:
+        whole = F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1))
+        return F.transform(whole, lambda x: form(lambda i: F.regexp_extract(x, pattern, i)))
+
+    xiii = r"(?i)annex\s+xiii\s*,?\s*\(?\s*(\d)\s*\)?\s*\(?\s*([a-z])?\s*\)?"
+    vi = r"(?i)annex\s+vi\s*(?:part\s*)?[,\s]*a\s*\(?\s*(\d+)\s*\)?"
+    article = r"(?i)art(?:icle)?\.?\s*(\d+)\s*\(\s*(\d+)\s*\)"
+    keys = F.concat(
+        found(xiii, lambda g: F.concat(F.lit("annex-xiii:"), g(1), F.when(g(2) != "", F.concat(F.lit("."), g(2))).otherwise(""))),
+        found(vi, lambda g: F.concat(F.lit("annex-vi-a:"), g(1))), found(article, lambda g: F.concat(F.lit("article:"), g(1), F.lit("."), g(2))),
+    )
+    return F.array_sort(F.array_distinct(keys))
+
+
+def words_of(text: Column) -> Column:
+    """The sorted distinct words that say which attribute a text is about: without a leading clause that points to a provision,
+    a leading soft condition and stop words; camel case is split."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)^[^:]{10,120}\bpursuant to\b[^:]{0,60}:\s*", "")
+    t = F.regexp_replace(t, r"(?i)^\s*\[?\s*(?:where|when|if)\s+(?:applicable|possible|relevant|appropriate|available)\s*,?\s*\]?\s*", "")
+    spaced = F.regexp_replace(t, r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ")
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(spaced), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*STOPWORDS))))
+
+
+def natural_key(text: Column) -> Column:
+    """Orders names by the values of their digit runs, of any length: an array of (digits without zeros, their text, part)."""
+    parts = F.regexp_extract_all(F.substring(text, 1, 2000), F.lit(r"([0-9]+|[^0-9]+)"))
+    plain = lambda p: F.regexp_replace(p, "^0+", "")
+    # A name begins with text, maybe none.
+    begins = F.when(F.regexp_like(text, F.lit("^[0-9]")), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.concat(begins, parts), lambda p: F.when(F.regexp_like(p, F.lit("^[0-9]")), F.struct(F.length(plain(p)).alias("n"), plain(p).alias("value"), p.alias("part"))).otherwise(F.struct(F.lit(-1).alias("n"), p.alias("value"), F.lit("").alias("part"))))

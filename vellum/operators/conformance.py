@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.functions import lexical as L
+
 
 def cardinality(parents: DataFrame, children: DataFrame, key: str, child_key: str, low: int, high: int | None) -> DataFrame:
     """Parents whose number of children is outside low ... high (None: no upper bound): key, found.
@@ -26,8 +28,8 @@ def claims(elements: DataFrame, element_key: str, rules: list[tuple[str, Column]
 
 
 def near_misses(values: DataFrame, value: str, vocabulary: DataFrame, word: str, *, least: int = 3, share: int = 4) -> DataFrame:
-    """Distinct values that are no word but within max(least, length / share) edits of one: value, word, distance; the
-    nearest word, of equals the first in order.
+    """Distinct values that are no word but within max(least, the word's length / share) edits of one: value, word, distance;
+    the nearest word, of equals the first in order.
 
     The vocabulary is one array that every task reads, so it must fit in memory; a value meets all words of a length within
     reach, in its own row.
@@ -35,11 +37,11 @@ def near_misses(values: DataFrame, value: str, vocabulary: DataFrame, word: str,
     distinct = values.select(F.col(value).alias("value")).where("value is not null").distinct()
     words = vocabulary.select(F.col(word).alias("word")).distinct()
     unknown = distinct.join(words.select(F.col("word").alias("value")), "value", "left_anti")
-    reach = F.greatest(F.lit(least), F.floor(F.length("value") / share).cast("int"))
-    rows = unknown.select("value", reach.alias("reach")).crossJoin(F.broadcast(words.agg(F.collect_set("word").alias("words"))))
-    near = F.filter("words", lambda w: F.abs(F.length(w) - F.length("value")) <= F.col("reach"))
+    reach = lambda w: F.greatest(F.lit(least), F.floor(F.length(w) / share).cast("int"))
+    rows = unknown.select("value").crossJoin(F.broadcast(words.agg(F.collect_set("word").alias("words"))))
+    near = F.filter("words", lambda w: F.levenshtein(F.col("value"), w) <= reach(w))
     best = F.array_min(F.transform(near, lambda w: F.struct(F.levenshtein(F.col("value"), w).alias("distance"), w.alias("word"))))
-    return rows.select("value", "reach", best.alias("x")).where("x.distance <= reach").select("value", "x.word", "x.distance")
+    return rows.select("value", best.alias("x")).where("x is not null").select("value", "x.word", "x.distance")
 
 
 def dangling(rows: DataFrame, key: str, targets: DataFrame, target_key: str) -> DataFrame:
@@ -96,9 +98,18 @@ def disagreements(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count_distinct(value).alias("n_values"), F.min(value).alias("low"), F.max(value).alias("high")).where("n_values > 1")
 
 
-def token_bag(text: Column) -> Column:
-    """A text's distinct lower-case words in order, joined by spaces: equal bags join by equality."""
-    return F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != ""))), " ")
+def nearest_rows(seen: DataFrame, rows: DataFrame) -> DataFrame:
+    """The nearest template row of each element that no row claimed: scope, element, row, distance, seen, expected.
+
+    seen: scope, element, values (array). rows: scope, row, row_ord, claimed (boolean), match (array). Pairs meet by what near
+    misses agree in (lexical.near_keys), so none is lost and nothing is crossed. The nearest wins, then one that nothing has
+    claimed, then the first row, then spellings in order."""
+    keyed = lambda df, column, name: df.withColumn(name, F.explode(column)).withColumn("key", F.explode(L.near_keys(F.col(name))))
+    a = keyed(seen.select("scope", "element", "values"), "values", "seen").drop("values")
+    b = keyed(rows.select("scope", "row", "row_ord", "claimed", "match"), "match", "expected").drop("match")
+    met = a.join(b, ["scope", "key"]).withColumn("distance", L.near_distance(F.col("seen"), F.col("expected"))).where("distance is not null")
+    best = F.min(F.struct("distance", "claimed", "row_ord", "seen", "expected", "row"))
+    return met.groupBy("scope", "element").agg(best.alias("x")).select("scope", "element", "x.row", "x.distance", "x.seen", "x.expected")
 
 
 def path_prefixes(path: Column) -> Column:
@@ -124,7 +135,41 @@ def tree_depths(edges: DataFrame, node: str, parent: str, is_top: Column) -> Dat
 
 
 def rollup(findings: DataFrame, group: str, severity: str) -> DataFrame:
-    """Counts of errors, warnings and notes of a group, whether it passes, and its exit code (1: errors)."""
+    """Counts of errors, warnings and notes of a group, whether it passes, and its exit code: see exit_code."""
     of = lambda s: F.count_if(F.col(severity) == s)
     out = findings.groupBy(group).agg(of("error").alias("errors"), of("warning").alias("warnings"), of("info").alias("notes"))
-    return out.select("*", (F.col("errors") == 0).alias("ok"), F.when(F.col("errors") > 0, 1).otherwise(0).alias("exit_code"))
+    return out.select("*", (F.col("errors") == 0).alias("ok"), exit_code(F.lit(True), F.col("errors"), F.col("warnings")).alias("exit_code"))
+
+
+def exit_code(judged: Column, errors: Column, warnings: Column, *, warnings_as_errors: bool = False, all_judged: Column | None = None) -> Column:
+    """2 where nothing was judged, whatever else is asked; 1 for errors, for warnings if asked, and where all_judged, if given,
+    is false; else 0."""
+    failed = errors > 0
+    if warnings_as_errors:
+        failed = failed | (warnings > 0)
+    if all_judged is not None:
+        failed = failed | ~all_judged
+    return F.when(~judged, 2).when(failed, 1).otherwise(0)
+
+
+#: Readings of an obligation, the strongest first.
+STRONGEST = ("yes", "conditional", "no", "unclear")
+
+
+def strongest(readings: DataFrame, key: str, reading: str) -> DataFrame:
+    """The strongest reading of each key: key, reading."""
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, STRONGEST)), F.col(reading)), F.lit(0))
+    return readings.groupBy(key).agg(F.min(F.when(rank > 0, rank)).alias("rank")).select(key, F.coalesce(F.get(F.array(*map(F.lit, STRONGEST)), (F.col("rank") - 1).cast("int")), F.lit("unclear")).alias(reading))
+
+
+def lone_value(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """The one value that a key states, folded; null where it states none or several: key, value."""
+    folded = F.lower(L.stripped(F.col(value)))
+    seen = rows.groupBy(key).agg(F.count_distinct(folded).alias("n"), F.min(folded).alias("least"))
+    return seen.select(key, F.when(F.col("n") == 1, F.col("least")).alias(value))
+
+
+def shared_identifiers(rows: DataFrame, identifier: str, owner: str) -> DataFrame:
+    """Identifiers that several owners claim: identifier, owners (sorted; as many as there are templates at most)."""
+    several = rows.groupBy(identifier).agg(F.array_sort(F.collect_set(owner)).alias("owners"))
+    return several.where(F.size("owners") > 1)

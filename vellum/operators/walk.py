@@ -1,11 +1,16 @@
-"""Template walk: elements of documents against the rows of a template, as joins over all documents at once.
+"""Template walk: elements of documents against the rows of templates, as joins over all documents at once.
 
-template rows: row_id, parent_id (null: top level), kind, match (array of identifiers), low, high (null: no bound).
-elements: as `sources.environment.elements` gives them.
+Template rows: template (the anchor: the identifier of the submodels that it judges), row_id, row_ord (order in its scope),
+parent_id (null: top level), scope_id (whose children this row's elements hold; null: its own; a row that holds copies of an
+element above names that one), label, kind, sid (its own identifier, or null), match (identifiers that it takes), low, high
+(null: no bound), value_type, list_type (null: any).
 
-A row's scopes are the elements that its parent row claimed (the submodel, at top level). Levels of the template are walked
-one after another; each is one equi-join of the level's elements with the template (small: broadcast after its row count is
-checked) and one grouped count by scope.
+Elements and submodels: as `sources.environment` gives them. A submodel is judged by every template whose anchor is among its
+main identifiers. A row's scopes are the elements of the right kind that the rows it hangs from claimed. Levels are walked
+one after another: each is one equi-join of the level's elements with the rows of their scopes.
+
+An element belongs to one row of its scope at most: the one whose own identifier is among the element's main ones, else the
+first in order that shares any identifier with it, or, inside a list, that asks for its kind if it has no main identifier.
 """
 
 from __future__ import annotations
@@ -13,49 +18,91 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A template of more rows is joined by shuffle.
+from vellum.sources.environment import cut
+
+#: Templates of more rows in all are joined by shuffle.
 BROADCAST_ROWS = 10_000
-KEY = ["doc_id", "sm_ord"]
-
-
-def claims(elements: DataFrame, template: DataFrame) -> DataFrame:
-    """Each element with the first row (by row_id) of its scope that names its identifier: doc_id, sm_ord, path, parent,
-    kind, row_id, scope_row (null: the submodel)."""
-    small = template.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = template.select("row_id", F.col("parent_id").alias("scope_row"), F.explode("match").alias("identifier"))
-    rows = F.broadcast(rows) if small else rows
-    named = elements.select(*KEY, "path", "parent", "depth", "kind", F.explode("main_values").alias("identifier"))
-    scopes, out, depth = None, None, 1
-    # A template row's depth is its elements' depth.
+KEY = ["doc_id", "sm_ord", "template"]
+
+
+def _small(template: DataFrame) -> DataFrame:
+    return F.broadcast(template) if template.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else template
+
+
+def judged(submodels: DataFrame, template: DataFrame) -> DataFrame:
+    """Submodels (instances) with each template that they declare: doc_id, sm_ord, template."""
+    anchors = template.select("template").distinct()
+    named = submodels.where("upper(model_kind) <> 'TEMPLATE'").select("doc_id", "sm_ord", F.explode("main_values").alias("template"))
+    return named.join(anchors, "template").select(*KEY).distinct()
+
+
+def claims(elements: DataFrame, submodels: DataFrame, template: DataFrame) -> DataFrame:
+    """Each claimed element: doc_id, sm_ord, template, path, parent, row_id, fits (is its kind the row's?)."""
+    rows = template.select("template", "row_id", "row_ord", F.col("parent_id").alias("scope_row"), "kind", "sid", "match", F.coalesce("scope_id", "row_id").alias("inner"))
+    by_id = _small(rows.withColumn("value", F.explode("match")))
+    by_kind = _small(rows)
+    scopes = judged(submodels, template).select(*KEY, F.array().cast("array<int>").alias("parent"), F.lit(None).cast(dict(template.dtypes)["row_id"]).alias("scope_row"))
+    out, depth = None, 1
     deepest = elements.agg(F.max("depth")).first()[0] or 0
-    while depth <= deepest:
-        here = named.where(F.col("depth") == depth)
-        if scopes is None:
-            met = here.withColumn("scope_row", F.lit(None).cast(dict(template.dtypes)["parent_id"]))
-        else:
-            met = here.join(scopes.select(*KEY, F.col("path").alias("parent"), F.col("row_id").alias("scope_row")), [*KEY, "parent"])
-        r = rows.withColumnRenamed("scope_row", "of_row")
-        met = met.join(r, (met["identifier"] == r["identifier"]) & met["scope_row"].eqNullSafe(r["of_row"]))
-        scopes = met.groupBy(*KEY, "path", "parent", "kind", "scope_row").agg(F.min("row_id").alias("row_id"))
-        out = scopes if out is None else out.unionByName(scopes)
+    columns = [*KEY, "path", "parent", "element_kind", "main_values", "scope_row"]
+    while depth <= deepest and (depth == 1 or not scopes.isEmpty()):
+        here = elements.where(F.col("depth") == depth).join(scopes, ["doc_id", "sm_ord", "parent"]).withColumnRenamed("kind", "element_kind")
+        same = lambda r: (F.col("e.template") == F.col(f"{r}.template")) & F.col("e.scope_row").eqNullSafe(F.col(f"{r}.scope_row"))
+        of = lambda r: [*[F.col(f"e.{c}") for c in columns], *[F.col(f"{r}.{c}") for c in ("row_id", "row_ord", "kind", "sid", "match", "inner")]]
+        valued = here.withColumn("value", F.explode("all_values")).alias("e")
+        met = valued.join(by_id.alias("r"), same("r") & (F.col("e.value") == F.col("r.value"))).select(*of("r"))
+        bare = here.where(F.col("in_list") & (F.size("main_values") == 0)).alias("e")
+        met = met.union(bare.join(by_kind.alias("r"), same("r") & (F.col("e.element_kind") == F.col("r.kind"))).select(*of("r")))
+        owned = F.coalesce(F.array_contains("main_values", F.col("sid")) & F.array_contains("match", F.col("sid")), F.lit(False))
+        best = met.groupBy(*KEY, "path", "parent").agg(F.min(F.struct((~owned).alias("foreign"), "row_ord", "row_id", (F.col("element_kind") == F.col("kind")).alias("fits"), "inner")).alias("x"))
+        claimed = cut(best.select(*KEY, "path", "parent", "x.row_id", "x.fits", "x.inner"))
+        out = claimed if out is None else out.union(claimed)
+        scopes = claimed.where("fits").select(*KEY, F.col("path").alias("parent"), F.col("inner").alias("scope_row"))
         depth += 1
-    return out
+    empty = scopes.select(*KEY, F.col("parent").alias("path"), "parent", F.col("scope_row").alias("row_id"), F.lit(True).alias("fits"), F.col("scope_row").alias("inner")).limit(0)
+    return out if out is not None else empty
+
+
+def _bounds() -> F.Column:
+    low, high = F.coalesce("low", F.lit(0)), F.col("high")
+    return F.when((low == 1) & (high == 1), "exactly one").when((low == 0) & (high == 1), "at most one").when((low == 1) & high.isNull(), "one or more").otherwise(F.concat(low.cast("string"), F.lit(" to "), F.coalesce(high.cast("string"), F.lit("any"))))
 
 
 def findings(elements: DataFrame, submodels: DataFrame, template: DataFrame) -> DataFrame:
-    """doc_id, sm_ord, scope (path), row_id, rule (cardinality or kind), found, wanted, in document order by `nth`."""
-    claimed = claims(elements, template)
-    rows = template.select("row_id", F.col("parent_id").alias("scope_row"), F.col("kind").alias("wanted_kind"), "low", "high")
-    small = template.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = F.broadcast(rows) if small else rows
-    top = submodels.select(*KEY, F.array().cast("array<int>").alias("scope")).join(rows.where("scope_row is null").drop("scope_row"))
-    inner = claimed.select(*KEY, F.col("path").alias("scope"), F.col("row_id").alias("scope_row")).join(rows.where("scope_row is not null"), "scope_row").drop("scope_row")
-    counts = claimed.groupBy(*KEY, F.col("parent").alias("scope"), "row_id").agg(F.count("*").alias("found"))
-    asked = top.unionByName(inner).join(counts, [*KEY, "scope", "row_id"], "left").withColumn("found", F.coalesce("found", F.lit(0)).cast("long"))
-    out_of_bounds = asked.where((F.col("found") < F.coalesce("low", F.lit(0))) | (F.col("found") > F.col("high")))
-    bounds = F.concat(F.coalesce("low", F.lit(0)).cast("string"), F.lit(".."), F.coalesce(F.col("high").cast("string"), F.lit("*")))
-    cardinality = out_of_bounds.select(*KEY, "scope", "row_id", F.lit("cardinality").alias("rule"), F.col("found").cast("string").alias("found"), bounds.alias("wanted"))
-    kinds = claimed.join(rows.select("row_id", "wanted_kind"), "row_id").where(~F.col("kind").eqNullSafe(F.col("wanted_kind")))
-    kinds = kinds.select(*KEY, F.col("path").alias("scope"), "row_id", F.lit("kind").alias("rule"), F.col("kind").alias("found"), F.col("wanted_kind").alias("wanted"))
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("sm_ord", "scope", "row_id", "rule"))
-    return cardinality.union(kinds).withColumn("nth", nth)
+    """doc_id, sm_ord, template, path (of the scope for counts, else of the element), row_id, check (count, kind, list type,
+    value type or value), message. A wrong count doesn't silence the rest; a wrong kind is judged no further."""
+    claimed = cut(claims(elements, submodels, template))
+    rows = _small(template.select("template", F.col("row_id"), F.col("parent_id").alias("scope_row"), "label", F.col("kind").alias("wanted"), "low", "high", F.col("value_type").alias("wanted_type"), "list_type"))
+    top = judged(submodels, template).select(*KEY, F.array().cast("array<int>").alias("scope"))
+    top = top.join(rows.where("scope_row is null").drop("scope_row"), "template")
+    inner = claimed.where("fits").select(*KEY, F.col("path").alias("scope"), F.col("inner").alias("scope_row")).join(rows.where("scope_row is not null"), ["template", "scope_row"]).drop("scope_row")
+    counts = claimed.groupBy(*KEY, F.col("parent").alias("scope"), "row_id").agg(F.count("*").alias("n"))
+    asked = top.unionByName(inner).join(counts, [*KEY, "scope", "row_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    wrong = asked.where((F.col("n") < F.coalesce("low", F.lit(0))) | (F.col("n") > F.col("high")))
+    message = F.concat(F.lit("the template expects "), _bounds(), F.lit(" '"), F.col("label"), F.lit("' here; found "), F.col("n").cast("string"))
+    count = wrong.select(*KEY, F.col("scope").alias("path"), "row_id", F.lit("count").alias("check"), message.alias("message"))
+
+    about = elements.select("doc_id", "sm_ord", "path", F.col("kind").alias("element_kind"), "value", "value_type", F.col("list_type").alias("declared"))
+    each = claimed.select(*KEY, "path", "row_id", "fits").join(about, ["doc_id", "sm_ord", "path"]).join(rows.drop("scope_row"), ["template", "row_id"])
+    label, is_list = F.concat(F.lit("'"), F.col("label"), F.lit("'")), F.col("list_type").isNotNull() & ~F.col("list_type").eqNullSafe(F.col("declared"))
+    checks = F.array_compact(F.array(
+        F.when(~F.col("fits"), F.struct(F.lit("kind").alias("check"), F.concat(label, F.lit(" must be a "), "wanted").alias("message"))),
+        F.when(F.col("fits") & is_list, F.struct(F.lit("list type").alias("check"), F.concat(label, F.lit(" is declared to hold "), F.coalesce("declared", F.lit("nothing")), F.lit("; the template holds "), "list_type").alias("message"))),
+        F.when(F.col("fits") & F.col("wanted_type").isNotNull() & ~F.col("wanted_type").eqNullSafe(F.col("value_type")), F.struct(F.lit("value type").alias("check"), F.concat(label, F.lit(" must carry valueType "), "wanted_type").alias("message"))),
+        F.when(F.col("fits") & (F.col("low") >= 1) & (F.col("wanted") == "Property") & F.col("value").isNull(), F.struct(F.lit("value").alias("check"), F.concat(label, F.lit(" is required here and carries no value")).alias("message"))),
+    ))
+    other = each.select(*KEY, "path", "row_id", F.explode(checks).alias("x")).select(*KEY, "path", "row_id", "x.check", "x.message")
+    return count.unionByName(other)
+
+
+def not_examined(elements: DataFrame, submodels: DataFrame, template: DataFrame) -> DataFrame:
+    """Rows that were asked in no scope of a judged submodel: doc_id, sm_ord, template, row_id."""
+    claimed = claims(elements, submodels, template)
+    every = judged(submodels, template).join(_small(template.select("template", "row_id", "parent_id")), "template")
+    asked = claimed.where("fits").select(*KEY, F.col("inner").alias("parent_id")).distinct()
+    return every.where("parent_id is not null").join(asked, [*KEY, "parent_id"], "left_anti").select(*KEY, "row_id")
+
+
+def in_order(found: DataFrame) -> DataFrame:
+    """findings with nth, their reading order within a document: submodel, place, row, check, message."""
+    return found.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("sm_ord", "path", "row_id", "check", "message")))

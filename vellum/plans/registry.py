@@ -37,9 +37,11 @@ def card_zero(spark, d):
     return C.cardinality(t(spark, d, "orders"), t(spark, d, "lineitem"), "o_orderkey", "l_orderkey", 1, None)
 
 
-@query("SELECT doc_id FROM documents WHERE text IS NULL OR regexp_matches(text, '^\\s*$')")
+@query("""SELECT doc_id FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN ' ' || chr(10) || chr(9) ELSE text END AS text FROM documents)
+WHERE text IS NULL OR regexp_matches(text, '^\\s*$')""")
 def required_value(spark, d):
-    return t(spark, d, "documents").where(F.col("text").isNull() | F.regexp_like("text", F.lit(r"^\s*$"))).select("doc_id")
+    text = F.when(F.col("doc_id") % 5 == 1, " \n\t").when(F.col("doc_id") % 5 != 0, F.col("text"))
+    return t(spark, d, "documents").select("doc_id", text.alias("text")).where(F.col("text").isNull() | F.regexp_like("text", F.lit(r"^\s*$"))).select("doc_id")
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus NOT IN ('O', 'F')")
@@ -47,10 +49,11 @@ def vocab_check(spark, d):
     return t(spark, d, "orders").where(~F.col("o_orderstatus").isin("O", "F")).select("o_orderkey", "o_orderstatus")
 
 
-@query("SELECT event_id, json_type(props, '$.k') AS found FROM events WHERE json_type(props, '$.k') IS DISTINCT FROM 'UBIGINT'")
+@query("SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'STRING' WHEN 2 THEN NULL ELSE 'OBJECT<b: BIGINT>' END AS found FROM events WHERE event_id % 4 <> 0")
 def kind_check(spark, d):
+    props = F.when(F.col("event_id") % 4 == 0, F.col("props")).when(F.col("event_id") % 4 == 1, '{"k": "x"}').when(F.col("event_id") % 4 == 2, "{").otherwise('{"k": {"b": 1}}')
     kind = F.expr("schema_of_variant(try_variant_get(try_parse_json(props), '$.k', 'variant'))")
-    return t(spark, d, "events").select("event_id", kind.alias("found")).where("found is null or found <> 'BIGINT'")
+    return t(spark, d, "events").select("event_id", props.alias("props")).select("event_id", kind.alias("found")).where("found is null or found <> 'BIGINT'")
 
 
 @query("""SELECT doc_id, first_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, md5(text)) AS first_id FROM documents)
@@ -80,8 +83,7 @@ VOCABULARY = ("AUTOMOBIL", "BILDING", "FURNITURES", "MACHINRY", "HOUSEHOLDS")
 @query("""WITH w(word) AS (VALUES ('AUTOMOBIL'), ('BILDING'), ('FURNITURES'), ('MACHINRY'), ('HOUSEHOLDS')),
 v AS (SELECT DISTINCT c_mktsegment AS value FROM customer WHERE c_mktsegment IS NOT NULL),
 p AS (SELECT value, word, levenshtein(value, word) AS distance FROM v, w WHERE value NOT IN (SELECT word FROM w)
-  AND (lower(left(value, 1)) = lower(left(word, 1)) OR lower(right(value, 1)) = lower(right(word, 1)))
-  AND levenshtein(value, word) <= greatest(3, length(value) // 4)),
+  AND levenshtein(value, word) <= greatest(3, length(word) // 4)),
 r AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY distance, word) AS n FROM p)
 SELECT value, word, distance FROM r WHERE n = 1""")
 def near_miss(spark, d):
@@ -96,10 +98,19 @@ def not_examined(spark, d):
     return C.not_examined(docs, docs.join(t(spark, d, "labels").where("quality = 0"), "doc_id"), ["lang", "source"])
 
 
-@query("""SELECT bag, min(p_partkey) AS first_key, count(*) AS n FROM (SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(
-string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: x <> ''))), ' ') AS bag FROM part) GROUP BY bag HAVING count(*) > 1""")
+BAG = """list_sort(list_distinct(list_filter(string_split_regex(lower(regexp_replace(x, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'),
+lambda w: w <> '' AND w NOT IN ('the','a','an','of','for','to','in','on','and','or','by','is','with','as','at','from','its','their','this','that',
+'information','data','value','values','battery','batteries'))))"""
+
+
+@query(f"""WITH t AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Information on the ' || p_type || ' pursuant to Article 7: ' || p_name
+WHEN 1 THEN 'Where applicable, ' || p_name ELSE replace(p_name, ' ', 'Of') || ' batteryValue' END AS full_text,
+CASE p_partkey % 3 WHEN 2 THEN replace(p_name, ' ', 'Of') || ' batteryValue' ELSE p_name END AS x FROM part)
+SELECT array_to_string({BAG}, ' ') AS bag, min(p_partkey) AS first_key, count(*) AS n FROM t GROUP BY 1 HAVING count(*) > 1""")
 def bag_join(spark, d):
-    bags = t(spark, d, "part").select("p_partkey", C.token_bag(F.col("p_name")).alias("bag"))
+    kind, name = F.col("p_partkey") % 3, F.col("p_name")
+    text = F.when(kind == 0, F.concat(F.lit("Information on the "), "p_type", F.lit(" pursuant to Article 7: "), name)).when(kind == 1, F.concat(F.lit("Where applicable, "), name)).otherwise(F.concat(F.replace(name, F.lit(" "), F.lit("Of")), F.lit(" batteryValue")))
+    bags = t(spark, d, "part").select("p_partkey", F.array_join(L.words_of(text), " ").alias("bag"))
     return bags.groupBy("bag").agg(F.min("p_partkey").alias("first_key"), F.count("*").alias("n")).where("n > 1")
 
 
@@ -178,32 +189,58 @@ def topk_named(spark, d):
     return first.join(docs.groupBy("lang").agg(F.count("*").alias("n")), "lang")
 
 
-@query("SELECT page_id, lower(nullif(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1), '')) AS scheme, regexp_extract(url, '([^/]*)$', 1) AS file_name FROM pages")
-def part_name(spark, d):
-    return t(spark, d, "pages").select("page_id", L.scheme(F.col("url")).alias("scheme"), L.file_name(F.col("url")).alias("file_name"))
+PART_NAMES = ("files/a b.pdf", "./files//x.PDF", "..\\out.txt", "a/b/../../..", "C:\\d\\E%20F.TXT", "dir/", "", "a/./b/../c.xml", "x%2Fy.bin", "/", "É/Ü.Doc", "%zz+1.txt")
 
 
-@query("""SELECT o_orderkey, year(o_orderdate) % 4 = 0 AND (year(o_orderdate) % 100 <> 0 OR year(o_orderdate) % 400 = 0) AS leap_day_ok,
-day(o_orderdate) <= 28 AS in_february FROM orders""")
-def xs_date(spark, d):
-    year, day = F.date_format("o_orderdate", "yyyy"), F.date_format("o_orderdate", "dd")
-    return t(spark, d, "orders").select("o_orderkey", L.is_xs_date(F.concat(year, F.lit("-02-29Z"))).alias("leap_day_ok"), (L.is_xs_date(F.concat(year, F.lit("-02-"), day)) & (F.dayofmonth("o_orderdate") <= 28)).alias("in_february"))
+@query("""WITH v(i, raw, name, problem, file) AS (VALUES (0, 'files/a b.pdf', 'files/a b.pdf', NULL, 'a b.pdf'), (1, './files//x.PDF', 'files/x.PDF', NULL, 'x.pdf'),
+(2, '..\\out.txt', NULL, 'it climbs out of the package', 'out.txt'), (3, 'a/b/../../..', NULL, 'it climbs out of the package', '..'),
+(4, 'C:\\d\\E%20F.TXT', 'C:/d/E F.TXT', NULL, 'e f.txt'), (5, 'dir/', NULL, 'it ends in a separator, so it names a directory and not a part', ''),
+(6, '', NULL, 'it is empty', ''), (7, 'a/./b/../c.xml', 'a/c.xml', NULL, 'c.xml'), (8, 'x%2Fy.bin', 'x/y.bin', NULL, 'x/y.bin'),
+(9, '/', NULL, 'it ends in a separator, so it names a directory and not a part', ''), (10, 'É/Ü.Doc', 'É/Ü.Doc', NULL, 'Ü.doc'), (11, '%zz+1.txt', '%zz+1.txt', NULL, '%zz+1.txt'))
+SELECT page_id, nullif(lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]+):', 1)), '') AS scheme, name, problem, file AS file_name FROM pages JOIN v ON page_id % 12 = i""".replace("\\\\", "\\"))
+def part_name(spark, d):
+    raw = F.get(F.array(*map(F.lit, PART_NAMES)), (F.col("page_id") % len(PART_NAMES)).cast("int"))
+    return t(spark, d, "pages").select("page_id", "url", raw.alias("raw")).select("page_id", L.scheme(F.col("url")).alias("scheme"), L.part_name(F.col("raw")).alias("p"), L.file_name(F.col("raw")).alias("file_name")).select("page_id", "scheme", "p.name", "p.problem", "file_name")
 
 
-@query("SELECT p_partkey, '0173-1#02-' || upper('ab') || lpad((p_partkey % 10000)::VARCHAR, 4, '0') || '#001' AS norm_id FROM part")
+@query("""WITH y AS (SELECT p_partkey, (p_partkey * 7919) % 12000 - 6000 AS y, p_partkey % 31 + 1 AS day FROM part),
+a AS (SELECT *, CASE WHEN y < 0 THEN -y - 1 ELSE y END AS astro FROM y)
+SELECT p_partkey, y <> 0 AND day <= CASE WHEN astro % 4 = 0 AND (astro % 100 <> 0 OR astro % 400 = 0) THEN 29 ELSE 28 END AS february,
+y <> 0 AND p_partkey % 16 * 60 + p_partkey % 70 <= 840 AND p_partkey % 70 < 60 AS with_offset FROM a""")
+def xs_date(spark, d):
+    y = F.col("p_partkey") * 7919 % 12000 - 6000
+    year = F.concat(F.when(y < 0, "-").otherwise(""), F.lpad(F.abs(y).cast("string"), 4, "0"))
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    february = F.concat(F.lit(" \n"), year, F.lit("-02-"), two(F.col("p_partkey") % 31 + 1), F.lit("\t"))
+    offset = F.concat(year, F.lit("-01-31+"), two(F.col("p_partkey") % 16), F.lit(":"), two(F.col("p_partkey") % 70))
+    return t(spark, d, "part").select("p_partkey", L.is_xs_date(february).alias("february"), L.is_xs_date(offset).alias("with_offset"))
+
+
+@query("""WITH n AS (SELECT p_partkey, lpad((p_partkey % 1000)::VARCHAR, 3, '0') AS k, p_partkey % 6 AS form FROM part)
+SELECT p_partkey, CASE WHEN form IN (0, 1, 2) THEN '0173-1#02-ABC' || k || '#002' WHEN form = 3 THEN 'urn:irdi:https://x/' || k || '%23a'
+WHEN form = 4 THEN 'urn:samm:io.x:1.0.' || k || '#energy' ELSE 'https://example.org/' || k || '/' END AS norm_id,
+CASE WHEN form IN (0, 1, 2) THEN '0173-1#02-ABC' || k WHEN form = 4 THEN 'urn:samm:io.x#energy' END AS stem FROM n""")
 def norm_id(spark, d):
-    raw = F.concat(F.lit(" 0173/1#02-ab"), F.lpad((F.col("p_partkey") % 10000).cast("string"), 4, "0"), F.lit("-001 "))
-    return t(spark, d, "part").select("p_partkey", L.normal_identifier(raw).alias("norm_id"))
+    k, form = F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0"), F.col("p_partkey") % 6
+    forms = [("\t0173-1#02-ABC", "#002 "), ("urn:irdi:0173-1%2302-ABC", "%23002"), ("HTTPS://api.eclass-cdp.com/0173-1-02-ABC", "-002/"), ("urn:irdi:https://x/", "%23a"), ("urn:samm:io.x:1.0.", "#energy"), (" https://example.org/", "/")]
+    raw = F.lit(None).cast("string")
+    for i, (a, b) in enumerate(forms):
+        raw = F.when(form == i, F.concat(F.lit(a), k, F.lit(b))).otherwise(raw)
+    named = t(spark, d, "part").select("p_partkey", L.normal_identifier(raw).alias("norm_id"))
+    return named.select("p_partkey", "norm_id", F.coalesce(L.version_stem(F.col("norm_id")), L.samm_stem(F.col("norm_id"))).alias("stem"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 3000 THEN left(text, 2999) || '…' ELSE text END AS text FROM documents")
+@query("""SELECT doc_id, CASE WHEN length(text) > 3000 THEN left(text, 3000 - length('... (' || (length(text) - 3000) || ' more characters, not shown)'))
+|| '... (' || (length(text) - 3000) || ' more characters, not shown)' ELSE text END AS text FROM documents""")
 def bounded_text(spark, d):
     return t(spark, d, "documents").select("doc_id", L.bounded(F.col("text")).alias("text"))
 
 
-@query("SELECT doc_id, md5(regexp_replace(text, '[\\x00-\\x1f\\x7f]', '?', 'g')) AS digest FROM documents")
+@query(r"""SELECT doc_id, md5(replace(replace(replace(replace(left(text, 40), chr(10), '\x0a'), chr(13), '\x0d') || chr(9) || '\x1b[0m\x7f\x9b' || right(text, 40),
+chr(10), '\x0a'), chr(13), '\x0d')) AS digest FROM documents""")
 def ctrl_escape(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.md5(L.visible(F.col("text"))).alias("digest"))
+    text = F.concat(F.substring("text", 1, 40), F.lit("\t\x1b[0m\x7f\x9b"), F.substring(F.col("text"), F.greatest(F.length("text") - 39, F.lit(1)), F.lit(40)))
+    return t(spark, d, "documents").select("doc_id", F.md5(L.visible(text)).alias("digest"))
 
 
 @query("SELECT doc_id, sha256(text) AS digest FROM documents")
@@ -280,7 +317,7 @@ try_cast(regexp_extract(c_name, '([0-9]+)', 1) AS BIGINT), c_custkey) AS nth FRO
 def natural_order(spark, d):
     from pyspark.sql import Window
 
-    w = Window.partitionBy("c_nationkey").orderBy(F.regexp_extract("c_name", "^([^0-9]*)", 1), L.number_key(F.col("c_name")), "c_custkey")
+    w = Window.partitionBy("c_nationkey").orderBy(F.regexp_extract("c_name", "^([^0-9]*)", 1), L.natural_key(F.col("c_name")), "c_custkey")
     return t(spark, d, "customer").select("c_custkey", F.row_number().over(w).alias("nth"))
 
 
@@ -293,11 +330,12 @@ def html_lines(spark, d):
     return t(spark, d, "pages").select("page_id", lines.alias("lines")).select("page_id", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("digest"))
 
 
-@query("""SELECT p_partkey, 'XIII' AS annex, (p_partkey % 9 + 1)::VARCHAR AS point, chr((97 + p_partkey % 26)::INTEGER) AS letter FROM part""")
+@query("""SELECT p_partkey, array_to_string(list_sort(list_distinct(['annex-xiii:' || (p_partkey % 9) || '.' || chr((97 + p_partkey % 26)::INTEGER), 'article:' || p_size || '.2', 'annex-vi-a:' || (p_partkey % 12)]
+|| CASE WHEN p_partkey % 2 = 0 THEN ['annex-xiii:4'] ELSE [] END)), ' ') AS keys FROM part""")
 def citations(spark, d):
-    point, letter = (F.col("p_partkey") % 9 + 1).cast("string"), F.char(97 + F.col("p_partkey") % 26)
-    cited = L.citation(F.concat(F.lit("as Annex XIII ("), point, letter, F.lit(") of the act, and "), "p_name"))
-    return t(spark, d, "part").select("p_partkey", cited.alias("c")).select("p_partkey", "c.*")
+    n = lambda k: (F.col("p_partkey") % k).cast("string")
+    text = F.concat(F.lit("see ANNEX XIII, ("), n(9), F.lit(") ("), F.char(97 + F.col("p_partkey") % 26), F.lit("), Art. "), "p_size", F.lit(" ( 2 ) and Annex VI Part A ("), n(12), F.lit("); "), F.when(F.col("p_partkey") % 2 == 0, "annex xiii 4").otherwise("annex xii 4"))
+    return t(spark, d, "part").select("p_partkey", F.array_join(L.citations(text), " ").alias("keys"))
 
 
 @query("""SELECT p_type, p_brand, CASE WHEN bool_and(p_size <= 25) THEN 'small' ELSE 'large' END AS side FROM part
@@ -322,8 +360,11 @@ def stream_windows(spark, d):
 
 
 def queries() -> dict:
+    from vellum.plans import walks  # noqa: F401  adds its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

@@ -10,15 +10,20 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a local one where that is unset (tests)."""
+    """A new folder under spark.checkpoint.dir; a local one where that is unset in local mode (tests)."""
     top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{top.rstrip('/')}/streams/{uuid.uuid4().hex}" if top else "file://" + tempfile.mkdtemp(prefix="vellum-stream-")
 
 
 def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A folder's Parquet files of a name as a stream; a stream reads folders, so the name is a filter on its files."""
-    file = f"{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(f"{folder}/{file}").schema).option("pathGlobFilter", file).parquet(folder)
+    """A table's Parquet files as a stream: those of its own folder, or, where it is one file, that file of the folder."""
+    path = f"{folder}/{name}.parquet"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    return reader.parquet(path) if whole else reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def window_counts(events: DataFrame, time: str, key: str, width: str, delay: str) -> DataFrame:
@@ -39,4 +44,7 @@ def run_available(result: DataFrame, mode: str = "complete") -> DataFrame:
 
     running = result.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(put).start()
     running.awaitTermination()
+    out = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
+    if not out.getFileSystem(spark._jsc.hadoopConfiguration()).exists(out):
+        return spark.createDataFrame([], result.schema)
     return spark.read.schema(result.schema).parquet(f"{folder}/out")
