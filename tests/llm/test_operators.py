@@ -213,3 +213,9 @@ def test_warc(spark):
     ]
     found = {r.record_id: (r.response_id, r.status) for r in warc.resolve(spark.createDataFrame(rows, "record_id long, url string, time long, type string, headers map<string,string>, digest string")).collect()}
     assert found == {2: (1, "resolved"), 4: (3, "changed"), 5: (None, "orphan"), 6: (None, "orphan"), 7: (1, "resolved")}
+
+
+def test_warc_repeated_ids(spark):
+    rows = [(1, f"http://{h}.com/", 10 * i, "response", {"etag": h}, None) for i, h in enumerate("ab")] + [(2, f"http://{h}.com/", 50, "revisit", {"etag": h}, None) for h in "aab"]
+    found = warc.resolve(spark.createDataFrame(rows, "record_id long, url string, time long, type string, headers map<string,string>, digest string")).collect()
+    assert Counter((r.record_id, r.canonical, r.response_id, r.status, r.headers["etag"]) for r in found) == {(2, "a.com/", 1, "resolved", "a"): 2, (2, "b.com/", 1, "resolved", "b"): 1}

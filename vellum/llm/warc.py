@@ -11,7 +11,7 @@ with the response, is `resolved` (`unchecked` for the latter), a disagreeing one
 Of a revisit's headers, those that a 304 response may carry replace the response's; others of the revisit are left out.
 
 Rows: records with a null URL, time or type neither resolve nor are resolved, and are returned as `orphan` if they are
-revisits. Null headers count as none. Repeated rows are resolved each; of responses at one time and id the greatest digest
+revisits. Null headers count as none. Repeated rows, and records that share an id, are resolved each; of responses at one time and id the greatest digest
 is met. Empty tables give an empty result. Other columns are not read.
 """
 
@@ -60,11 +60,12 @@ def resolve(records: DataFrame, slices: int = SLICES) -> DataFrame:
     carried = last.select("canonical", "slice", F.max("last").over(before).alias("carried"))
     inside = Window.partitionBy("canonical", "slice").orderBy("time", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     met = events.withColumn("met", F.max(here).over(inside)).where("type = 'revisit'")
-    met = met.join(carried, ["canonical", "slice"], "left").select("record_id", F.coalesce("met", "carried")["record_id"].alias("response_id")).distinct()
+    met = met.join(carried, ["canonical", "slice"], "left").select("record_id", "canonical", "time", F.coalesce("met", "carried")["record_id"].alias("response_id")).distinct()
 
-    sent = rows.where("type = 'revisit'").join(met, "record_id", "left")
-    stored = rows.where("type = 'response'").groupBy(F.col("record_id").alias("response_id")).agg(F.max_by("headers", F.coalesce("digest", F.lit(""))).alias("stored"), F.max("digest").alias("stored_digest"), F.count("*").alias("found"))
-    both = sent.join(stored, "response_id", "left")
+    # A record id may stand for records of several URLs, so it is joined with its URL and time.
+    sent = rows.where("type = 'revisit'").join(met, ["record_id", "canonical", "time"], "left")
+    stored = rows.where("type = 'response'").groupBy(F.col("record_id").alias("response_id"), "canonical").agg(F.max_by("headers", F.coalesce("digest", F.lit(""))).alias("stored"), F.max("digest").alias("stored_digest"), F.count("*").alias("found"))
+    both = sent.join(stored, ["response_id", "canonical"], "left")
     h, s = F.col("headers"), F.coalesce("stored", none)
     same = F.coalesce(_tag(h) == _tag(s), h["last-modified"] == s["last-modified"], F.col("digest") == F.col("stored_digest"))
     status = F.when(F.col("found").isNull(), "orphan").when(same.isNull(), "unchecked").when(same, "resolved").otherwise("changed")
