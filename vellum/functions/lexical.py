@@ -216,3 +216,69 @@ def natural_key(text: Column) -> Column:
     # A name begins with text, maybe none.
     begins = F.when(F.regexp_like(text, F.lit("^[0-9]")), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
     return F.transform(F.concat(begins, parts), lambda p: F.when(F.regexp_like(p, F.lit("^[0-9]")), F.struct(F.length(plain(p)).alias("n"), plain(p).alias("value"), p.alias("part"))).otherwise(F.struct(F.lit(-1).alias("n"), p.alias("value"), F.lit("").alias("part"))))
+
+
+def shown_text(value: Column) -> Column:
+    """A text in quotes, single ones unless it holds only those; backslashes, quotes, tabs and line ends are escaped. Null is
+    null. Other control characters are left to `visible`."""
+    plain = F.replace(value, F.lit("\\"), F.lit("\\\\"))
+    for char, escape in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        plain = F.replace(plain, F.lit(char), F.lit(escape))
+    double = value.contains("'") & ~value.contains('"')
+    single = F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(double, F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(single)
+
+
+#: What narrows an obligation, and words that say when it holds.
+NARROWING = r"(?i)(\(?only for [^;.)]+\)?)"
+SOFT = (
+    r"(?i)(when relevant|where relevant|where applicable|if available|when applicable|where possible|where appropriate|if applicable"
+    r"|as far as|to the extent)"
+)
+#: Access by what a heading holds, the first that fits.
+ACCESS = (("PUBLICLY ACCESSIBLE", "public"), ("NOTIFIED BODIES", "authorities"), ("LEGITIMATE INTEREST", "legitimate-interest"))
+#: Applicability wordings with their reading and label, the first that fits.
+APPLICABILITY = (
+    (r"(?i)^mandatory\b", "yes", "required"),
+    (r"(?i)^optional\b", "no", "optional"),
+    (r"(?i)only in certain cases|only applicable|only if|if applicable|where applicable|applicable\d* if", "conditional", "certain-cases"),
+    (r"(?i)does not have to be (filled|displayed)|not to be (filled|displayed)|no need to (fill|display)", "no", "not-to-be-filled"),
+    (r"(?i)^(n/?a|-|\u2013|\u2014)$", "unclear", "not-stated"),
+)
+
+
+def obligation(text: Column) -> Column:
+    """(reading, condition) of a provision's words: conditional where they narrow it or say when, else yes."""
+    t = F.coalesce(text, F.lit(""))
+    narrowed, soft = F.regexp_extract(t, NARROWING, 1), F.regexp_extract(t, SOFT, 1)
+    condition = F.when(narrowed != "", F.regexp_replace(narrowed, r"^[()]+|[()]+$", "")).otherwise(soft)
+    return F.struct(F.when(condition != "", "conditional").otherwise("yes").alias("reading"), condition.alias("condition"))
+
+
+def access_class(heading: Column) -> Column:
+    upper = F.upper(heading)
+    return F.coalesce(*[F.when(upper.contains(words), name) for words, name in ACCESS], F.lit("n/a"))
+
+
+def applicability(wording: Column) -> Column:
+    """(reading, label) of a wording; unclear and unrecognised where none fits."""
+    t = F.coalesce(wording, F.lit(""))
+    found = [F.when(F.regexp_like(t, F.lit(p)), F.struct(F.lit(reading).alias("reading"), F.lit(label).alias("label"))) for p, reading, label in APPLICABILITY]
+    return F.coalesce(*found, F.struct(F.lit("unclear").alias("reading"), F.lit("unrecognised").alias("label")))
+
+
+def namespace_version(identifier: Column) -> Column:
+    """The version that an identifier's name space carries: three numbers before a #, else two path steps; else empty."""
+    v = F.coalesce(identifier, F.lit(""))
+    three, two = F.regexp_extract(v, r":(\d+\.\d+\.\d+)#", 1), r"/(\d+)/(\d+)/"
+    steps = F.concat_ws(".", F.regexp_extract(v, two, 1), F.regexp_extract(v, two, 2))
+    return F.when(three != "", three).when(F.regexp_like(v, F.lit(two)), steps).otherwise("")
+
+
+def cardinality_words(low: Column, high: Column) -> Column:
+    return F.when((low == 1) & (high == 1), "exactly one").when((low == 0) & (high == 1), "at most one").when((low == 1) & high.isNull(), "one or more").otherwise("any number of")
+
+
+def with_article(noun: Column) -> Column:
+    """A noun behind its indefinite article, by its first letter."""
+    return F.concat(F.when(F.regexp_like(noun, F.lit("^[AEIOUaeiou]")), "an ").otherwise("a "), noun)
