@@ -16,6 +16,8 @@ scanned whole.
 
 from __future__ import annotations
 
+import bisect
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,16 +129,29 @@ def whole_words(texts: list[str], b: dict) -> list[tuple]:
     return out
 
 
+def apart(places: set) -> list[tuple[int, int, int]]:
+    """Of places (start, length, edits) those that don't overlap a better one, in order: fewer edits, then an earlier start.
+    Neighbouring bands find one occurrence twice."""
+    taken: list = []
+    for place in sorted(places, key=lambda x: (x[2], x[0], x[1])):
+        at = bisect.bisect(taken, place)
+        before, after = taken[at - 1 : at] if at else [], taken[at : at + 1]
+        if not any(x[0] < place[0] + max(1, place[1]) and place[0] < x[0] + max(1, x[1]) for x in (*before, *after)):
+            taken.insert(at, place)
+    return taken
+
+
 def scan(doc_ids: list, texts: list[str], b: dict, q: int) -> list[tuple]:
     """Occurrences of a block's items in texts: (doc_id, item_id, start, length, edits) on normalised characters."""
-    found = {(d, i): x for d, i, *x in whole_words(texts, b)} if b["short"] else {}
+    found = {(d, i): [x] for d, i, *x in whole_words(texts, b)} if b["short"] else {}
     if len(b["h"]):
         found |= banded(texts, b, q)
-    return [(doc_ids[d], b["ids"][i], *x) for (d, i), x in sorted(found.items())]
+    return [(doc_ids[d], b["ids"][i], *x) for (d, i), places in sorted(found.items()) for x in places]
 
 
 def banded(texts: list[str], b: dict, q: int) -> dict:
-    """The best occurrence of each longer item in each text: (document, item) to (start, length, edits)."""
+    """The occurrences of each longer item in each text, none overlapping another of it: (document, item) to a list of (start,
+    length, edits)."""
     import numpy as np
 
     whole = "\0".join(texts)
@@ -170,12 +185,8 @@ def banded(texts: list[str], b: dict, q: int) -> dict:
         window = texts[d][lo : max(0, int(band[g]) * w - shift + 2 * w + len(b["texts"][i]) + e - begin)]
         found = align(b["texts"][i], window, e)
         if found:
-            place_found = (lo + found[1], found[2], found[0])
-            key = (d, i)
-            # Neighbouring bands find one occurrence twice; each item is reported once a text, at its best place.
-            if key not in out or (place_found[2], place_found[0]) < (out[key][2], out[key][0]):
-                out[key] = place_found
-    return out
+            out.setdefault((d, i), set()).add((lo + found[1], found[2], found[0]))
+    return {key: apart(places) for key, places in out.items()}
 
 
 def _scanner(block, q: int, chars: int = 1_000_000):
@@ -201,8 +212,10 @@ def _scanner(block, q: int, chars: int = 1_000_000):
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, percent: int = PERCENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Approximate occurrences of benchmark (item_id, text) in docs (doc_id, text): the best of each item in each text, as
-    doc_id, item_id, start, length, edits on normalised characters."""
+    """Approximate occurrences of benchmark (item_id, text) in docs (doc_id, text): doc_id, item_id, start, length, edits on
+    normalised characters. Those of one item in one text don't overlap: of two that do, the one with fewer edits stays, then
+    the earlier. An item of fewer than q characters is reported once a text, at its first place. Only whole items count: a
+    text that lacks more of an item than `percent` edits does not hold it."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
     out = spark.createDataFrame([], FOUND)
