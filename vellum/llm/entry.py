@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import decontaminate, jaccard_join, license_scan, packing, quality_rules, suffix_dedup, token_counts, token_output, url_filters, warc
+from vellum.llm import decontaminate, jaccard_join, license_scan, packing, prefix_trie, quality_rules, simhash_dedup, suffix_dedup, token_counts, token_output, tokenizer_alignment, url_filters, warc
 from vellum.llm.common import table
 
 
@@ -104,9 +104,61 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read(manifest, folder)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("conv_id")
+    head = F.crc32(c.cast("string").cast("binary")) % 4
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"), donor=c - c % 20, head=head)
+
+
+#: The checksum is folded bit by bit, by its polynomial.
+OP11_SQL = r"""
+WITH o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT DISTINCT conv_id FROM o),
+b AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS donor,
+         list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+           lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], list_transform(range(8), lambda j: 0::UBIGINT)),
+             lambda a, j: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))) AS crc FROM i),
+c AS (SELECT conv_id, donor, (xor(crc, 4294967295::UBIGINT) % 4)::BIGINT AS h FROM b),
+r AS (
+  SELECT c.conv_id, 0 AS own, pos, role, text FROM c JOIN o ON o.conv_id = c.donor AND pos < h
+  UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND pos >= h),
+s AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth, md5(length(role) || ':' || role || text) AS key,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM r),
+p AS (
+  SELECT conv_id, depth, string_agg(key, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path, words FROM s
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM p GROUP BY path, depth),
+k AS (SELECT substring(path, 1, 32 * (depth - 1)) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+w AS (SELECT n.path, n.depth, n.conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, (n_convs - 1) * words AS saved FROM n LEFT JOIN k USING (path)),
+u AS (
+  SELECT substring(path, 1, 32 * up) AS path, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM w) GROUP BY 1),
+e AS (
+  SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+  FROM (SELECT conv_id, arg_max(path, depth) AS path FROM p GROUP BY conv_id) GROUP BY path)
+SELECT w.conv_id, w.depth, q.conv_id AS parent_conv_id, w.n_convs, w.n_children, u.n_leaves::BIGINT AS n_leaves, u.saved_tokens::BIGINT AS saved_tokens,
+       sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM w JOIN u USING (path) LEFT JOIN e USING (path) LEFT JOIN n q ON w.depth > 0 AND q.path = substring(w.path, 1, 32 * (w.depth - 1))
+"""
+
+
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenizer_alignment.align_corpus(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_token_counts, op3_suffix_dedup, op4_url_filters, op5_packing, op6_warc, op7_decontaminate, op8_quality_rules, op9_license_scan, op10_token_output)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_token_counts, op3_suffix_dedup, op4_url_filters, op5_packing, op6_warc, op7_decontaminate, op8_quality_rules, op9_license_scan, op10_token_output, op11_prefix_trie, op12_simhash_dedup, op13_tokenizer_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6_SQL}
+    return {"op6_warc": OP6_SQL, "op11_prefix_trie": OP11_SQL}
