@@ -3,6 +3,8 @@
 import random
 import textwrap
 
+from pyspark.sql import functions as F
+
 from vellum.llm import license_scan
 
 KINDS = {
@@ -44,3 +46,26 @@ def test_notices(spark):
     found = [(r.doc_id, r.line, r.family) for r in license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
     assert len(found) == len(set(found))
     assert set(found) == want | {(None, 0, "mit")}
+
+
+def test_every_kind_of_line_in_the_tables(spark):
+    """At sf0.1, whose junk lines repeat a word hundreds of times: all lines that are a notice are found, with their family, and
+    nothing else is."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "paragraph")).where(F.col("paragraph").isin(*KINDS))
+    want = {(r.doc_id, r.line, KINDS[r.paragraph]) for r in lines.collect()}
+    assert {x[2] for x in want} == set(KINDS.values()) and len(want) > 300
+    found = {(r.doc_id, r.line, r.family) for r in license_scan.scan(docs).collect()}
+    assert want <= found
+    texts = {(r.doc_id, r.line): r.paragraph for r in docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "paragraph")).where(F.regexp_like("paragraph", F.lit("(?i)licen|reserved"))).collect()}
+    other = {x for x in found - want if not any(k.lower() in texts.get(x[:2], "").lower() for k in KINDS)}
+    assert not other, [(x, texts.get(x[:2])) for x in other]
+
+
+def test_repeated_words_are_unknown(spark):
+    model, families, asked = license_scan.train(spark.createDataFrame([(i, " ".join([w] * n)) for i, (w, n) in enumerate((w, n) for w in ("As", "License", "rights", "version") for n in (1, 5, 40, 400, 4000))], "doc_id long, text string"))
+    assert 0 < asked < 1
+    kinds = spark.createDataFrame([(k,) for k in KINDS] + [("License " * 500,), ("As " * 3000,)], "paragraph string")
+    scored = model.transform(license_scan.featurised(kinds)).select("paragraph", "prediction").collect()
+    assert {r.paragraph: families[int(r.prediction)] for r in scored if r.paragraph in KINDS} == KINDS
+    assert {families[int(r.prediction)] for r in scored if r.paragraph not in KINDS} == {license_scan.UNKNOWN}

@@ -1,12 +1,15 @@
 """Licence scan: a trained paragraph classifier, confirmed by template comparison. DataFrame functions only.
 
 A notice may be wrapped: from each line on, words are read across the lines of its paragraph (up to a line without any
-word). From each three-gram of a template that begins in that line, the words up to the last of its three-grams within reach
-are a passage, if `least` of them are there.
-Passages are counts of word one- and two-grams for a multinomial
-logistic regression. It is trained on the families' template paragraphs, whole and with parts left out, against lines of a
-bounded sample of the corpus as the class of unknown texts. A passage counts if its family's probability against that of
-unknown texts exceeds a value that is calibrated on held-out unknown lines, so that at most one in a thousand of them passes.
+word). From each three-gram of any template that begins in that line, the words up to the last of its three-grams within reach
+are a candidate.
+A multinomial logistic regression over a candidate's word one- and two-grams (which of them it holds, scaled to length one, so
+that neither a long candidate nor a repeated word counts more) names its family: the likeliest one. It is trained on the
+families' template paragraphs, whole and with parts left out, against lines of a bounded sample of the corpus as the class of
+unknown texts. The family's probability against that of unknown texts must reach a threshold: the split-conformal quantile of
+`ALPHA` over held-out unknown lines (with fewer than 1 / ALPHA of them their maximum), but never above what the whole templates
+themselves have, so that a corpus whose own lines look like licences can't silence known notices. A template of the family that
+the classifier named must then confirm it: `least` of the template's three-grams are in the candidate.
 
 Families with similar templates (GPL 2 and 3) are rivals: where their passages overlap, only the one that holds more of its
 template counts. Others don't keep each other out, so a line may have several families.
@@ -34,6 +37,8 @@ from vellum.llm.common import materialize
 SAMPLE = 400
 FEATURES = 1 << 13
 LEAST = 0.8
+#: Share of unknown lines that may pass the classifier, before templates confirm.
+ALPHA = 0.001
 UNKNOWN = "unknown"
 
 #: Notices of common licences.
@@ -190,10 +195,11 @@ def _examples(spark: SparkSession, templates: dict[str, list[str]]) -> DataFrame
 
 
 def featurised(df: DataFrame) -> DataFrame:
-    from pyspark.ml.feature import HashingTF
+    from pyspark.ml.feature import HashingTF, Normalizer
 
     w = df.withColumn("__words", words(F.col("paragraph")))
-    return HashingTF(inputCol="__grams", outputCol="features", numFeatures=FEATURES).transform(w.withColumn("__grams", F.concat("__words", _runs(F.col("__words"), 2)))).drop("__grams")
+    held = HashingTF(inputCol="__grams", outputCol="__held", numFeatures=FEATURES, binary=True).transform(w.withColumn("__grams", F.concat("__words", _runs(F.col("__words"), 2))))
+    return Normalizer(inputCol="__held", outputCol="features").transform(held).drop("__grams", "__held")
 
 
 def train(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, sample: int = SAMPLE):
@@ -220,9 +226,13 @@ def train(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, sample:
     label = F.element_at(F.create_map(*[x for i, f in enumerate(families) for x in (F.lit(f), F.lit(float(i)))]), F.col("family"))
     rows = _examples(spark, templates).union(unknown.where("not held_out").select("family", "paragraph")).withColumn("label", label)
     model = LogisticRegression(maxIter=40, regParam=1e-3).fit(featurised(rows.coalesce(1)).select("label", "features"))
-    known = F.array_max(_against_unknown(vector_to_array("probability")))
-    passed = model.transform(featurised(unknown.where("held_out"))).agg(F.percentile(known, F.lit(0.999)).alias("p")).first()["p"]
-    return model, families, passed or 0.0
+    scores = lambda df: model.transform(featurised(df)).select(F.array_max(_against_unknown(vector_to_array("probability"))).alias("p"))
+    seen = scores(unknown.where("held_out")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("p"), asc=False).alias("p")).first()
+    whole = spark.createDataFrame([(t,) for ts in templates.values() for t in ts], "paragraph string")
+    known = scores(whole).agg(F.min("p").alias("p")).first()["p"]
+    # The quantile's rank from the top: of n + 1 exchangeable lines at most ALPHA lie above it.
+    above = min(seen["n"], int((seen["n"] + 1) * ALPHA) + 1) - 1
+    return model, families, min(seen["p"][above] if seen["n"] else 0.0, known)
 
 
 def _all_grams(templates: dict[str, list[str]]) -> list[str]:
@@ -301,8 +311,9 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: fl
     scored = model.transform(featurised(passages(docs, templates, least)))
     numbers = F.create_map(*[F.lit(x) for i, f in enumerate(families[1:], 1) for x in (f, i)])
     groups = F.create_map(*[F.lit(x) for pair in rivals(templates).items() for x in pair])
-    p = F.element_at(_against_unknown(vector_to_array("probability")), F.element_at(numbers, F.col("family")))
-    kept = scored.select("row", "doc_id", "family", "lo", "hi", "share", p.alias("p"), F.element_at(groups, F.col("family")).alias("rivals")).where(F.col("p") > asked)
+    every = _against_unknown(vector_to_array("probability"))
+    named = (F.element_at(numbers, F.col("family")) == F.array_position(every, F.array_max(every))) & (F.array_max(every) >= asked)
+    kept = scored.where(named).select("row", "doc_id", "family", "lo", "hi", "share", F.array_max(every).alias("p"), F.element_at(groups, F.col("family")).alias("rivals"))
     # The one with most of its template first; those that overlap it go, and a family's others in its line.
     best = F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("short"), "lo", (-F.col("p")).alias("unlike"), "hi", "family")))
     some = kept.groupBy("row", "rivals").agg(F.first("doc_id").alias("doc_id"), best.alias("best"))
