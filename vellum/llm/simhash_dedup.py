@@ -140,8 +140,8 @@ def links(prints: DataFrame, most: int = MOST) -> DataFrame:
         pairs = sides.select(F.explode("unset").alias("a"), "set").select("a", F.explode("set").alias("b"))
         out = out.union(pairs.where((F.col("a") != F.col("b")) & near("a", "b")))
     if not full.isEmpty():
-        # Others that pass the filter only name values too, which adds true links.
-        crowded = filtered(keys, "key", context.broadcast(id_filter(full)), True).select("fp").distinct()
+        # The filter lets others pass, each fingerprint by 66 keys, so the join asks again.
+        crowded = filtered(keys, "key", context.broadcast(id_filter(full)), True).join(full, "key", "left_semi").select("fp").distinct()
         out = out.union(named_in_common(crowded))
     return out
 
