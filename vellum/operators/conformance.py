@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import lexical as L
+from vellum.sources.shared import written
 
 
 def cardinality(parents: DataFrame, children: DataFrame, key: str, child_key: str, low: int, high: int | None) -> DataFrame:
@@ -120,16 +121,14 @@ def path_prefixes(path: Column) -> Column:
 
 def tree_depths(edges: DataFrame, node: str, parent: str, is_top: Column) -> DataFrame:
     """Nodes reachable from those where is_top holds, with their depth (from 1): one join a level, over that level's rows.
-    Nodes in cycles, and below missing parents, are not reached. The lineage is cut at each level where the session names a
-    checkpoint folder."""
+    Nodes in cycles, and below missing parents, are not reached. The lineage is cut at each level."""
     rows = edges.select(node, parent)
     level, out, depth = edges.where(is_top).select(node), None, 1
     while not level.isEmpty():
         here = level.withColumn("depth", F.lit(depth))
         out = here if out is None else out.union(here)
         level = rows.join(level.select(F.col(node).alias(parent)), parent, "left_semi").select(node)
-        if edges.sparkSession.conf.get("spark.checkpoint.dir", None):
-            level = level.checkpoint()
+        level = written(level)
         depth += 1
     return out if out is not None else level.withColumn("depth", F.lit(0))
 

@@ -68,10 +68,10 @@ def _bounds() -> F.Column:
     return F.when((low == 1) & (high == 1), "exactly one").when((low == 0) & (high == 1), "at most one").when((low == 1) & high.isNull(), "one or more").otherwise(F.concat(low.cast("string"), F.lit(" to "), F.coalesce(high.cast("string"), F.lit("any"))))
 
 
-def findings(elements: DataFrame, submodels: DataFrame, template: DataFrame) -> DataFrame:
+def findings(elements: DataFrame, submodels: DataFrame, template: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
     """doc_id, sm_ord, template, path (of the scope for counts, else of the element), row_id, check (count, kind, list type,
     value type or value), message. A wrong count doesn't silence the rest; a wrong kind is judged no further."""
-    claimed = cut(claims(elements, submodels, template))
+    claimed = cut(claims(elements, submodels, template)) if claimed is None else claimed
     rows = _small(template.select("template", F.col("row_id"), F.col("parent_id").alias("scope_row"), "label", F.col("kind").alias("wanted"), "low", "high", F.col("value_type").alias("wanted_type"), "list_type"))
     top = judged(submodels, template).select(*KEY, F.array().cast("array<int>").alias("scope"))
     top = top.join(rows.where("scope_row is null").drop("scope_row"), "template")
