@@ -106,3 +106,12 @@ def not_examined(elements: DataFrame, submodels: DataFrame, template: DataFrame)
 def in_order(found: DataFrame) -> DataFrame:
     """findings with nth, their reading order within a document: submodel, place, row, check, message."""
     return found.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("sm_ord", "path", "row_id", "check", "message")))
+
+
+def name_drift(elements: DataFrame, claimed: DataFrame, template: DataFrame) -> DataFrame:
+    """Claimed elements of the right kind whose name their row's pattern (template column `allowed`) doesn't match: KEY, path,
+    id_short, allowed, in_list (inside a list a name is to be removed, elsewhere changed). Elements without a name drift from none."""
+    rows = _small(template.where("allowed is not null").select("template", "row_id", "allowed"))
+    named = elements.where("id_short <> ''").select("doc_id", "sm_ord", "path", "id_short", "in_list")
+    met = claimed.where("fits").join(rows, ["template", "row_id"]).join(named, ["doc_id", "sm_ord", "path"])
+    return met.where(~F.regexp_like("id_short", F.col("allowed"))).select(*KEY, "path", "id_short", "allowed", "in_list")
