@@ -115,3 +115,26 @@ def name_drift(elements: DataFrame, claimed: DataFrame, template: DataFrame) ->
     named = elements.where("id_short <> ''").select("doc_id", "sm_ord", "path", "id_short", "in_list")
     met = claimed.where("fits").join(rows, ["template", "row_id"]).join(named, ["doc_id", "sm_ord", "path"])
     return met.where(~F.regexp_like("id_short", F.col("allowed"))).select(*KEY, "path", "id_short", "allowed", "in_list")
+
+
+def resolved(references: DataFrame, elements: DataFrame) -> DataFrame:
+    """Where references lead: doc_id, sm_ord, ref_id, path (null: nowhere). references: doc_id, sm_ord, ref_id, keys (an array of
+    strings, below the submodel).
+
+    All open references advance one key a round: to the first child of that name, or, in a list, at that position, whatever name
+    the child has. Collections and lists are entered only; a reference without keys leads nowhere."""
+    key = ["doc_id", "sm_ord", "ref_id"]
+    level = cut(references.select(*key, "keys", F.lit(1).alias("k"), F.array().cast("array<int>").alias("at")).where(F.size("keys") > 0))
+    by_name = elements.where("id_short is not null").select("doc_id", "sm_ord", F.col("parent").alias("at"), F.col("id_short").alias("step"), "path", "kind")
+    by_place = elements.where("in_list").select("doc_id", "sm_ord", F.col("parent").alias("at"), F.element_at("path", -1).cast("string").alias("step"), "path", "kind")
+    steps = by_name.union(by_place).groupBy("doc_id", "sm_ord", "at", "step").agg(F.min(F.struct("path", "kind")).alias("x"))
+    steps, out = cut(steps), None
+    while not level.isEmpty():
+        met = level.withColumn("step", F.element_at("keys", F.col("k"))).join(steps, ["doc_id", "sm_ord", "at", "step"])
+        met = cut(met.select(*key, "keys", F.col("k"), F.col("x.path").alias("path"), F.col("x.kind").alias("kind")))
+        found = met.where(F.col("k") == F.size("keys")).select(*key, "path")
+        out = found if out is None else out.union(found)
+        more = (F.col("k") < F.size("keys")) & F.col("kind").isin("SubmodelElementCollection", "SubmodelElementList")
+        level = met.where(more).select(*key, "keys", (F.col("k") + 1).alias("k"), F.col("path").alias("at"))
+    rest = references.select(*key)
+    return rest.join(out, key, "left") if out is not None else rest.withColumn("path", F.lit(None).cast("array<int>"))
