@@ -11,7 +11,8 @@ scanned against all texts, so a larger benchmark means more passes, never a larg
 
 Rows: null and empty texts contain nothing; null and empty items are not searched. Items of fewer than q characters
 (normalised) hold no q-gram: they are looked up as whole words without edits. Repeated rows and items are each judged. Empty tables give an empty result. Other columns are not read. Texts of any length are
-scanned whole.
+scanned whole, and hits are counted in slices of `HITS`, so that texts and items that repeat one character or phrase cost
+time, not memory.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ BLOCK_CHARS = 4_000_000
 FOUND = "doc_id long, item_id long, start long, length long, edits int"
 BASE = 0x9E3779B97F4A7C15
 FILTER_BITS = 22
+#: Pairs of a text's q-gram and an item's place that are held at once, whatever the texts repeat.
+HITS = 500_000
 
 
 def normal(text: str | None) -> str:
@@ -160,33 +163,63 @@ def banded(texts: list[str], b: dict, q: int) -> dict:
     lo = np.searchsorted(b["h"], h[at], "left")
     n = np.searchsorted(b["h"], h[at], "right") - lo
     at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-    if not len(at):
-        return {}
-    which = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    pos, item, place = np.repeat(at, n), b["item"][which], b["place"][which]
     ends = np.cumsum([len(t) + 1 for t in texts])
+    out: dict = {}
+    # Item places lie at most this far before a hit; it also keeps bands from being negative.
+    shift = int(b["place"].max()) + 1
+    held = tuple(np.zeros(0, np.int64) for _ in range(4))
+    upto = np.cumsum(n)
+    first = 0
+    while first < len(at):
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + HITS, "right")))
+        new = _bands(at[first:last], lo[first:last], n[first:last], ends, shift, b)
+        doc, item, band, size = _added(*(np.concatenate(x) for x in zip(held, new)))
+        # Bands that begin far enough before the next hit are complete.
+        ended = (band + 2) * b["width"][item] + shift < at[last] if last < len(at) else np.ones(len(doc), bool)
+        for i in np.flatnonzero(ended & (size >= b["least"][item])):
+            _verify(int(doc[i]), int(item[i]), int(band[i]), shift, ends, texts, b, out)
+        held, first = tuple(x[~ended] for x in (doc, item, band, size)), last
+    return {key: apart(places) for key, places in out.items()}
+
+
+def _added(doc, item, band, size):
+    """Equal (document, item, band) once, with their sizes added up."""
+    import numpy as np
+
+    if not len(doc):
+        return doc, item, band, size
+    order = np.lexsort((band, item, doc))
+    doc, item, band, size = doc[order], item[order], band[order], size[order]
+    new = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (item[1:] != item[:-1]) | (doc[1:] != doc[:-1])]))
+    return doc[new], item[new], band[new], np.add.reduceat(size, new)
+
+
+def _bands(at, lo, n, ends, shift: int, b: dict):
+    """(document, item, band, size) of some hits: size counts the item places that a band holds, each once."""
+    import numpy as np
+
+    which = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    item, place, pos = b["item"][which], b["place"][which], np.repeat(at, n)
     doc = np.searchsorted(ends, pos, "right")
-    width = b["width"][item]
     # Place of the item's begin, shifted so that it isn't negative; a hit counts in its band and the one before.
-    shift = int(b["place"].max()) + 1
-    band = (pos - place + shift) // width
+    band = (pos - place + shift) // b["width"][item]
     band, doc, item, place = np.concatenate([band, band - 1]), np.tile(doc, 2), np.tile(item, 2), np.tile(place, 2)
-    order = np.lexsort((band, item, doc))
+    order = np.lexsort((place, band, item, doc))
     band, doc, item, place = band[order], doc[order], item[order], place[order]
-    new = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (item[1:] != item[:-1]) | (doc[1:] != doc[:-1])]))
-    size = np.diff(np.append(new, len(band)))
-    out: dict = {}
-    for g, k in zip(new[size >= b["least"][item[new]]], size[size >= b["least"][item[new]]]):
-        i, d = int(item[g]), int(doc[g])
-        if len(np.unique(place[g : g + k])) < b["least"][i]:
-            continue
-        e, w, begin = int(b["edits"][i]), int(b["width"][i]), int(ends[d]) - len(texts[d]) - 1
-        lo = max(0, int(band[g]) * w - shift - e - begin)
-        window = texts[d][lo : max(0, int(band[g]) * w - shift + 2 * w + len(b["texts"][i]) + e - begin)]
-        found = align(b["texts"][i], window, e)
-        if found:
-            out.setdefault((d, i), set()).add((lo + found[1], found[2], found[0]))
-    return {key: apart(places) for key, places in out.items()}
+    same = (band[1:] == band[:-1]) & (item[1:] == item[:-1]) & (doc[1:] == doc[:-1])
+    once = np.concatenate([[True], ~(same & (place[1:] == place[:-1]))])
+    new = np.flatnonzero(np.concatenate([[True], ~same]))
+    return doc[new], item[new], band[new], np.add.reduceat(once.astype(np.int64), new)
+
+
+def _verify(d: int, i: int, band: int, shift: int, ends, texts: list[str], b: dict, out: dict) -> None:
+    """Align an item inside a band of a text."""
+    e, w, begin = int(b["edits"][i]), int(b["width"][i]), int(ends[d]) - len(texts[d]) - 1
+    lo = max(0, band * w - shift - e - begin)
+    window = texts[d][lo : max(0, band * w - shift + 2 * w + len(b["texts"][i]) + e - begin)]
+    found = align(b["texts"][i], window, e)
+    if found:
+        out.setdefault((d, i), set()).add((lo + found[1], found[2], found[0]))
 
 
 def _scanner(block, q: int, chars: int = 1_000_000):

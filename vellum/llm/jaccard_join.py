@@ -13,7 +13,8 @@ Short lists are paired whole, rows bounded by their length, so candidates grow i
 Documents with long lists throughout their longest prefix are dense: members of large groups of near copies. Among them
 alone long lists are read: a growing number of hubs is paired with the members of other components found so far; a hub is
 then done and leaves the list, and lists inside one component are dropped, so a large group of near copies costs its size,
-not its square, and no link that joins two components is lost.
+not its square, and no link that joins two components is lost. Pairs of them are verified if their whole prefixes share as many
+shingles as the smaller l asks, so that documents with a few paragraphs in common are not.
 
 Copies of one set are one class, represented by its smallest doc_id.
 
@@ -351,6 +352,15 @@ def _link(docs: DataFrame, k: int, percent: int) -> DataFrame:
         n_a, n_b, common = F.size("a_shingles"), F.size("b_shingles"), F.size(F.array_intersect("a_shingles", "b_shingles"))
         return materialize(both.where(100 * common >= percent * (n_a + n_b - common)).select("a", "b"), "links")
 
+    # Dense pairs, too, must share as many shingles of their whole prefixes as the smaller l asks.
+    t = F.floor((F.col("n") * percent + 99) / 100).cast("int")
+    prefixes = materialize(classes.join(dense, "node", "left_semi").select("node", "prefix", F.least(F.lit(MOST_MATCHES) + F.floor(F.col("n") / 32).cast("int"), t).alias("l")), "prefixes")
+
+    def multi_matched(pairs: DataFrame) -> DataFrame:
+        of = lambda x: prefixes.select(F.col("node").alias(x), F.col("prefix").alias(f"{x}_prefix"), F.col("l").alias(f"{x}_l"))
+        both = pairs.join(of("b"), "b").join(of("a"), "a")
+        return both.where(F.size(F.array_intersect("a_prefix", "b_prefix")) >= F.least("a_l", "b_l")).select("a", "b")
+
     links = verified(met)
     # Several texts under one doc_id are linked by it.
     several = real.groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y"), F.min("d2").alias("z"), F.max("d2").alias("w")).where("x <> y or z <> w").select("doc_id")
@@ -371,7 +381,7 @@ def _link(docs: DataFrame, k: int, percent: int) -> DataFrame:
         if first:
             # Each document with the hub that it shares most lists with: that joins most of a group at once.
             pairs = pairs.groupBy("node").agg(F.max_by("h_node", F.struct("lists", "h_node")).alias("h_node"))
-        more = verified(materialize(pairs.select(F.least("h_node", "node").alias("a"), F.greatest("h_node", "node").alias("b")).distinct(), "hub_pairs"))
+        more = verified(materialize(multi_matched(pairs.select(F.least("h_node", "node").alias("a"), F.greatest("h_node", "node").alias("b")).distinct()), "hub_pairs"))
         if not more.isEmpty():
             links = links.union(more)
             found = components(links)

@@ -4,11 +4,12 @@ Documents are cut so that nearly every piece has a length of capacity / 2^i, a r
 2^i pieces and no padding; what is left of a document below `grain` tokens is one more piece, whose class holds
 floor(capacity / length) pieces a bin. A piece's place in its class is its number within its own task plus the sum of the
 counts of the tasks before; bin and offset follow by arithmetic, so workers fill their bins independently, and only
-(task, class) counts are shuffled. The last bin of a reciprocal class is split into bins of powers of two, which need no
-padding either.
+(task, class) counts are shuffled. What is left of the classes behind their last full bins, less than a bin each, is packed
+together by first fit, longest first, so at most one bin of all is mostly padding.
 
 Rows: null and empty texts hold only the end id. Repeated rows and repeated or null doc_ids are packed like any other row.
-An empty table gives an empty result. Other columns are not read.
+An empty table gives an empty result. Other columns are not read. Very long texts are cut into as many pieces as they need; a
+worker holds one text's ids at a time.
 """
 
 from __future__ import annotations
@@ -61,6 +62,27 @@ def _cutter(path: str, end_id: int, capacity: int, grain: int, keep_ids: bool):
     return run
 
 
+def last_bins(totals: dict[int, int], capacity: int) -> tuple[list[tuple], list[tuple]]:
+    """(classes: length, pieces a bin, full bins, number of the first; what is left: length, its number there, bin, offset) of how
+    many pieces there are of each length. Each class leaves less than a bin, so this is small whatever the corpus."""
+    classes, at = [], 0
+    for length in sorted(totals, reverse=True):
+        classes.append((length, capacity // length, totals[length] // (capacity // length), at))
+        at += classes[-1][2]
+    spots, fill = [], []
+    for length, per_bin, full, _ in classes:
+        bin_ = 0
+        for r in range(totals[length] - full * per_bin):
+            # Bins that were too full for one piece are for the next of its length.
+            while bin_ < len(fill) and fill[bin_] + length > capacity:
+                bin_ += 1
+            if bin_ == len(fill):
+                fill.append(0)
+            spots.append((length, r, at + bin_, fill[bin_]))
+            fill[bin_] += length
+    return classes, spots
+
+
 def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 1, capacity: int = 2048, grain: int = 64, keep_ids: bool = False) -> DataFrame:
     """Pieces of docs (doc_id, text) with their place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -75,29 +97,20 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 1, capacity: int = 20
     counts = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     by_task = Window.partitionBy("length").orderBy("task")
     before = counts.withColumn("before", F.sum("n").over(by_task) - F.col("n"))
-    per_bin = F.floor(F.lit(capacity) / F.col("length")).cast("long")
-    power = F.col("length").bitwiseAND(F.col("length") - 1) == 0
-    # One row for each of at most capacity lengths: the class's totals and its first bin's number.
-    totals = counts.groupBy("length").agg(F.sum("n").alias("total")).withColumn("per_bin", per_bin)
-    totals = totals.withColumn("full", F.floor(F.col("total") / F.col("per_bin")).cast("long")).withColumn("rest", F.col("total") % F.col("per_bin"))
-    totals = totals.withColumn("bins", F.col("full") + F.when(power, F.bit_count("rest")).otherwise((F.col("rest") > 0).cast("int")))
-    totals = totals.withColumn("first_bin", F.sum("bins").over(Window.orderBy(F.desc("length"))) - F.col("bins"))
-
-    placed = pieces.join(before.drop("n").join(F.broadcast(totals), "length"), ["length", "task"])
+    # One row for each of at most capacity lengths.
+    found = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    classes, spots = last_bins(found, capacity)
+    spark = docs.sparkSession
+    totals = spark.createDataFrame(classes, "length long, per_bin long, full long, first_bin long")
+    rest = spark.createDataFrame(spots, "length long, r long, last_bin long, last_offset long")
+    placed = pieces.join(F.broadcast(totals), "length").join(before.drop("n"), ["length", "task"])
     nth = F.col("place") + F.col("before")
-    in_full = nth < F.col("full") * F.col("per_bin")
-    r, rest = nth - F.col("full") * F.col("per_bin"), F.col("rest")
-    last_bin, last_slot = F.lit(0), r  # a class of another length has one last bin
-    for k in range(capacity.bit_length()):
-        upto = F.shiftleft(F.shiftright(rest, k), k)
-        start = F.shiftleft(F.shiftright(rest, k + 1), k + 1)
-        here = power & (r < upto) & (r >= start)
-        last_bin = F.when(here, F.bit_count(F.shiftright(rest, k + 1))).otherwise(last_bin)
-        last_slot = F.when(here, r - start).otherwise(last_slot)
+    placed = placed.withColumn("nth", nth).withColumn("r", F.col("nth") - F.col("full") * F.col("per_bin")).join(F.broadcast(rest), ["length", "r"], "left")
+    in_full = F.col("r") < 0
     return placed.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
-        (F.col("first_bin") + F.when(in_full, F.floor(nth / F.col("per_bin"))).otherwise(F.col("full") + last_bin)).cast("long").alias("sequence_id"),
-        (F.when(in_full, nth % F.col("per_bin")).otherwise(last_slot) * F.col("length")).cast("long").alias("offset"),
+        F.when(in_full, F.col("first_bin") + F.floor(F.col("nth") / F.col("per_bin"))).otherwise(F.col("last_bin")).cast("long").alias("sequence_id"),
+        F.when(in_full, F.col("nth") % F.col("per_bin") * F.col("length")).otherwise(F.col("last_offset")).cast("long").alias("offset"),
         *["ids"] * keep_ids,
     )
 

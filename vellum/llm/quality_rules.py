@@ -116,14 +116,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     return where_computed(base_counts(found), ~base_failed()).select("doc_id", "bad", *[v.cast("double").alias(k) for k, v in features().items()])
 
 
+def _midway(rows: DataFrame, c: Condition, of: dict[str, Column]) -> Condition:
+    """The condition with its cut midway between the nearest value that it spares and the nearest bad one that it rejects."""
+    v = of[c.feature]
+    spared, rejected = (v <= c.cut, v > c.cut) if c.above else (v > c.cut, v <= c.cut)
+    near, edge = (F.max, F.min) if c.above else (F.min, F.max)
+    ends = rows.agg(near(F.when(spared, v)).alias("spared"), edge(F.when(rejected & F.col("bad"), v)).alias("bad")).first()
+    return c if None in ends else Condition(c.feature, c.above, (ends["spared"] + ends["bad"]) / 2)
+
+
 def learn(sample: DataFrame, *, most_rules: int = 6, most_conditions: int = 3, precision: float = 0.97, least: int = 12) -> list[Rule]:
     """An ordered list of rules that reject, from rows of `doc_id`, boolean `bad` and numeric features."""
     names = [c for c in sample.columns if c not in ("doc_id", "bad")]
     rows = sample.withColumn("prune", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) == 0)
     of = {c: F.col(c) for c in names}
-    shares = [i / BINS for i in range(1, BINS)]
-    cuts = rows.agg(*[F.percentile(F.col(c), F.array(*map(F.lit, shares))).alias(c) for c in names]).first()
-    cuts = {c: sorted({float(x) for x in cuts[c] or ()}) for c in names}
+    shares = [i / BINS for i in range(BINS)]
+    # Of distinct values, so that a value which most rows have isn't the only cut.
+    each = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("f"), of[c].alias("v")) for c in names])).alias("x")).select("x.f", "x.v").distinct()
+    found = {r["f"]: r["v"] for r in each.groupBy("f").agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("v")).collect()}
+    cuts = {c: sorted({float(x) for x in found.get(c) or ()}) for c in names}
     # A feature's bin: how many of its cuts lie below the value.
     bins = {c: sum([(of[c] > F.lit(x)).cast("int") for x in cuts[c]], F.lit(0)) for c in names}
     binned = materialize(rows.select("*", *[b.alias(f"bin_{c}") for c, b in bins.items()]), "binned").coalesce(4)
@@ -157,7 +168,7 @@ def learn(sample: DataFrame, *, most_rules: int = 6, most_conditions: int = 3, p
                                 best = gain, Condition(c, above, cut)
             if best is None or best[0] <= 1e-9:
                 break
-            rule += (best[1],)
+            rule += (_midway(here, best[1], of),)
         if not rule:
             break
         pruned = left.where("prune")
