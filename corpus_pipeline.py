@@ -20,19 +20,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return where_computed(judged, F.col("kept")).select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
+def first_hash(text: str) -> F.Column:
+    return F.xxhash64(text)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs as key, row (a struct of all columns). The key is a hash of the text, or, for texts that share theirs with another text,
+    an independent second one: a hash of 64 bits alone would take some hundred of 10^11 texts for others."""
+    one, two = first_hash("text"), F.xxhash64(F.lit("second"), "text")
+    shared = docs.groupBy(one.alias("key")).agg(F.min(two).alias("least"), F.max(two).alias("most")).where("least <> most").select("key", F.lit(True).alias("shared"))
+    with scratch(docs.sparkSession):
+        shared = keep(shared, "shared")
+    packed = docs.select(one.alias("key"), two.alias("other"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    if shared.isEmpty():
+        return packed.select("key", "row")
+    return packed.join(shared, "key", "left").select(F.when(F.col("shared"), F.col("other")).otherwise(F.col("key")).alias("key"), "row")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of five-word shingle sets with a similarity of 0.8 or more: the one with the smallest
     doc_id (nulls last), of several texts with that doc_id the one with the smallest hash, of equal rows any one. Documents
     are told apart by their texts, so null and repeated doc_ids don't matter; texts without words stay."""
-    key = F.xxhash64("text")
+    packed = keyed(docs)
     with scratch(spark):
-        linked = jaccard_join.link(docs.select(key.alias("doc_id"), "text"), k=5, percent=80).where("n_shingles > 0")
+        linked = jaccard_join.link(packed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), k=5, percent=80).where("n_shingles > 0")
         several = linked.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
         several = linked.join(several, "component_id", "left_semi").select(F.col("doc_id").alias("key"), "component_id").distinct()
         several = keep(several, "several")
     # Only rows that may have near copies are shuffled.
     held = spark.sparkContext.broadcast(id_filter(several.select("key")))
-    packed = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     alone, other = (filtered(packed, "key", held, inside) for inside in (False, True))
     other = other.join(several, "key", "left")
     rank = F.struct(F.col("row.doc_id").isNull().alias("none"), F.coalesce("row.doc_id", F.lit(0)).alias("id"), "key")
@@ -49,11 +65,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an approximate copy of a benchmark passage, by their texts: null and repeated doc_ids don't matter."""
-    key = F.xxhash64("text")
-    found = decontaminate.occurrences(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    packed = keyed(docs)
+    found = decontaminate.occurrences(packed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     with scratch(spark):
         hit = keep(found.select(F.col("doc_id").alias("key")).distinct(), "leaks")
-    return docs.join(hit, F.xxhash64(docs["text"]) == hit["key"], "left_anti")
+    return packed.join(hit, "key", "left_anti").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
