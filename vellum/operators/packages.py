@@ -44,3 +44,48 @@ def carrying(values: DataFrame, entries: DataFrame, doc: str = "doc") -> DataFra
     held = held.groupBy(doc, "file").agg(F.count("*").alias("n"), F.min(same).eqNullSafe(F.max(same)).alias("alike"), F.min(F.struct("nth", "name")).alias("x"))
     asked = values.select(doc, "value").distinct().withColumn("file", L.file_name(F.col("value")))
     return asked.join(held, [doc, "file"]).select(doc, "value", "n", "alike", F.col("x.name").alias("first"))
+
+
+#: Where relationship types are named, and the types of the chain.
+TYPES = ("http://admin-shell.io/aasx/relationships/", "http://www.admin-shell.io/aasx/relationships/")
+
+
+def _is(kind: str) -> Column:
+    return F.col("type").isin(*[t + kind for t in TYPES])
+
+
+def targets(relationships: DataFrame, entries: DataFrame, doc: str = "doc") -> DataFrame:
+    """relationships (doc, source: '' for the package, nth, type, target, external) with `to`, the part that a target names, read from
+    its source's folder (an entry as it is written in the package; without one the resolved name, or the target itself if it names
+    no part), `inside` (is it neither external nor an address with a scheme?) and `held` (is there such an entry?)."""
+    inside = ~F.coalesce("external", F.lit(False)) & L.scheme(F.col("target")).isNull()
+    folder = F.regexp_extract("source", "(?s)^(.*)/[^/]*$", 1)
+    put = lambda t: F.when(t.startswith("/"), F.substring(t, 2, 1 << 30)).when(folder == "", t).otherwise(F.concat(folder, F.lit("/"), t))
+    bare = L.stripped(F.col("target"))
+    asked = relationships.withColumn("inside", inside).withColumn("value", F.when(F.col("inside"), put(F.col("target")))).withColumn("settled", F.when(F.col("inside") & (bare != F.col("target")), put(bare)))
+    values = asked.select(doc, "value").union(asked.select(doc, F.col("settled"))).where("value is not null")
+    # Each way that a target may be meant meets the package's entries once.
+    found = resolved(values, entries, doc).where("entry is not null")
+    one = found.select(doc, "value", F.col("entry").alias("first"))
+    two = found.select(doc, F.col("value").alias("settled"), F.col("entry").alias("second"))
+    met = asked.join(one, [doc, "value"], "left").join(two, [doc, "settled"], "left")
+    to = F.coalesce("first", "second", F.when(F.col("inside"), L.part_name(F.col("value"))["name"]), "target")
+    return met.select(*relationships.columns, to.alias("to"), "inside", (F.col("first").isNotNull() | F.col("second").isNotNull()).alias("held"))
+
+
+def chain(relationships: DataFrame, entries: DataFrame, doc: str = "doc") -> tuple[DataFrame, DataFrame]:
+    """(steps, refusals): from the package to its first origin, from that to its distinct spec parts in first-seen order, from those to
+    what they hold beside. steps: doc, step (origin, spec, suppl), nth, source, to, inside, held. refusals: doc, why (no origin,
+    foreign origin: one of another vocabulary, no spec). Packages without any relationship of their own are no rows of either."""
+    all_ = targets(relationships, entries, doc)
+    roots = all_.where("source = ''")
+    own = roots.where(_is("aasx-origin")).groupBy(doc).agg(F.min_by(F.struct("nth", "source", "to", "inside", "held"), "nth").alias("x")).select(doc, F.lit("origin").alias("step"), "x.*")
+    foreign = roots.groupBy(doc).agg(F.bool_or(F.regexp_like("type", F.lit("(^|/)aasx-origin$"))).alias("foreign"))
+    none = foreign.join(own.select(doc), doc, "left_anti").select(doc, F.when(F.col("foreign"), "foreign origin").otherwise("no origin").alias("why"))
+    at = own.select(doc, F.col("to").alias("source"))
+    specs = all_.where(_is("aas-spec")).join(at, [doc, "source"]).groupBy(doc, "source", "to").agg(F.min("nth").alias("nth"), F.first("inside").alias("inside"), F.first("held").alias("held"))
+    specs = specs.select(doc, F.lit("spec").alias("step"), "nth", "source", "to", "inside", "held")
+    empty = at.select(doc).join(specs.select(doc).distinct(), doc, "left_anti").select(doc, F.lit("no spec").alias("why"))
+    beside = all_.where(_is("aas-suppl")).join(specs.select(doc, F.col("to").alias("source")), [doc, "source"], "left_semi")
+    beside = beside.select(doc, F.lit("suppl").alias("step"), "nth", "source", "to", "inside", "held")
+    return own.select(doc, "step", "nth", "source", "to", "inside", "held").union(specs).union(beside), none.union(empty)
