@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import lexical as L
+from vellum.operators.scans import scan
 from vellum.sources.shared import written
 
 
@@ -65,33 +66,33 @@ def verdict_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFr
 
 def runs(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
     """Runs of equal consecutive values: group, run (from 1), value, length."""
-    w = Window.partitionBy(group).orderBy(*order)
-    begins = (~F.col(value).eqNullSafe(F.lag(value).over(w)) | (F.row_number().over(w) == 1)).cast("int")
-    numbered = rows.select(group, value, *order, begins.alias("begins")).withColumn("run", F.sum("begins").over(w))
+    some = rows.select(*dict.fromkeys([group, value, *order]))
+    marked = scan(some, group, order, previous={"before": F.col(value)})
+    begins = (F.col("nth_is_first") | ~F.col(value).eqNullSafe(F.col("before"))).cast("int")
+    numbered = scan(marked.select(*some.columns, begins.alias("begins")), group, order, sums={"run": F.col("begins")})
     return numbered.groupBy(group, "run").agg(F.first(value).alias("value"), F.count("*").alias("length")).select(group, F.col("run").cast("long").alias("run"), "value", "length")
 
 
 def carry_forward(rows: DataFrame, group: str, order: list[str], value: Column, name: str) -> DataFrame:
     """rows with the last set value so far, in order, within a group."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
+    return scan(rows, group, order, lasts={name: value}).drop("nth_is_first")
 
 
 def gaps(rows: DataFrame, group: str, number: str) -> DataFrame:
     """Missing numbers between neighbours of a group: group, after, before."""
-    w = Window.partitionBy(group).orderBy(number)
-    step = rows.select(group, number).distinct().withColumn("after", F.lag(number).over(w))
+    step = scan(rows.select(group, number).distinct(), group, [number], previous={"after": F.col(number)})
     return step.where(F.col(number) - F.col("after") > 1).select(group, "after", F.col(number).alias("before"))
 
 
-def clusters(rows: DataFrame, group: str, number: str, gap: float) -> DataFrame:
-    """Numbers of a group split where neighbours lie more than gap apart: group, cluster (from 1), low, high, n."""
-    w = Window.partitionBy(group).orderBy(number)
-    begins = F.coalesce((F.col(number) - F.lag(number).over(w) > gap).cast("int"), F.lit(1))
-    numbered = rows.select(group, number, begins.alias("begins"))
-    running = Window.partitionBy(group).orderBy(number).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = numbered.withColumn("cluster", F.sum("begins").over(running))
-    return numbered.groupBy(group, "cluster").agg(F.min(number).alias("low"), F.max(number).alias("high"), F.count("*").alias("n")).select(group, F.col("cluster").cast("long").alias("cluster"), "low", "high", "n")
+def clusters(rows: DataFrame, group: str, number: str, gap: float, *, mean: bool = False) -> DataFrame:
+    """Numbers of a group split where neighbours lie more than gap apart: group, cluster (from 1), low, high, n, and their mean if
+    asked for. Equal numbers count once each, but are scanned as one."""
+    each = rows.groupBy(group, number).agg(F.count("*").alias("n"))
+    marked = scan(each, group, [number], previous={"before": F.col(number)})
+    begins = F.coalesce((F.col(number) - F.col("before") > gap).cast("int"), F.lit(1))
+    numbered = scan(marked.select(group, number, "n", begins.alias("begins")), group, [number], sums={"cluster": F.col("begins")})
+    out = numbered.groupBy(group, "cluster").agg(F.min(number).alias("low"), F.max(number).alias("high"), F.sum("n").alias("n"), (F.sum(F.col(number) * F.col("n")) / F.sum("n")).alias("mean"))
+    return out.select(group, F.col("cluster").cast("long").alias("cluster"), "low", "high", "n", *["mean"] * mean)
 
 
 def disagreements(rows: DataFrame, key: str, value: str) -> DataFrame:
