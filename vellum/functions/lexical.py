@@ -100,6 +100,11 @@ def scheme(uri: Column) -> Column:
     return F.when(found != "", F.lower(found))
 
 
+def is_absolute(uri: Column) -> Column:
+    """Does a value begin with a scheme, of one letter or more?"""
+    return F.coalesce(F.regexp_like(uri, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), F.lit(False))
+
+
 def ascii_folded(value: Column) -> Column:
     return F.translate(value, UPPER, LOWER)
 
@@ -282,3 +287,15 @@ def cardinality_words(low: Column, high: Column) -> Column:
 def with_article(noun: Column) -> Column:
     """A noun behind its indefinite article, by its first letter."""
     return F.concat(F.when(F.regexp_like(noun, F.lit("^[AEIOUaeiou]")), "an ").otherwise("a "), noun)
+
+
+#: Fixed value: so many values of a list are shown before the rest is counted.
+SHOWN = 5
+
+
+def shown_values(values: Column) -> Column:
+    """A list of values for a sentence: the first ones as shown_text, and how many more there are; absent for a null list, or none of
+    them."""
+    first = F.array_join(F.transform(F.slice(values, 1, SHOWN), lambda v: F.coalesce(shown_text(v), F.lit("absent"))), ", ")
+    more = F.when(F.size(values) > SHOWN, F.concat(F.lit(" and "), (F.size(values) - SHOWN).cast("string"), F.lit(" more"))).otherwise("")
+    return F.when(F.size(values) > 0, F.concat(first, more)).otherwise("absent")

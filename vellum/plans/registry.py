@@ -360,7 +360,7 @@ def stream_windows(spark, d):
 
 
 def queries() -> dict:
-    from vellum.plans import coverage, law, packages, reports, templates, walks  # noqa: F401  add their queries
+    from vellum.plans import coverage, law, packages, reports, templates, texts, walks  # noqa: F401  add their queries
 
     return dict(QUERIES)
 
