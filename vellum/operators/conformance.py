@@ -43,7 +43,8 @@ def near_misses(values: DataFrame, value: str, vocabulary: DataFrame, word: str,
     rows = unknown.select("value").crossJoin(F.broadcast(words.agg(F.collect_set("word").alias("words"))))
     near = F.filter("words", lambda w: F.levenshtein(F.col("value"), w) <= reach(w))
     best = F.array_min(F.transform(near, lambda w: F.struct(F.levenshtein(F.col("value"), w).alias("distance"), w.alias("word"))))
-    return rows.select("value", best.alias("x")).where("x is not null").select("value", "x.word", "x.distance")
+    # Not a filter: moved into the join as its condition, it could not be bound there.
+    return rows.select("value", F.explode(F.array_compact(F.array(best))).alias("x")).select("value", "x.word", "x.distance")
 
 
 def dangling(rows: DataFrame, key: str, targets: DataFrame, target_key: str) -> DataFrame:
