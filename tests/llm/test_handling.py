@@ -10,7 +10,7 @@ import pytest
 import corpus_pipeline
 from vellum.llm import decontaminate, jaccard_join, packing, quality_rules, suffix_dedup, token_counts, token_output
 from vellum.llm.entry import word_vocabulary
-from vellum.llm.tokens import encoder
+from vellum.llm.tokens import WordEncoder, encoder
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +29,29 @@ def test_tokens_are_the_library_s(encode):
     assert [t for t, ids in zip(texts, found) if np.frombuffer(ids, "<u4").tolist() != encode(t)] == []
 
 
+def test_new_words_are_encoded_together(encode):
+    """Cut words have the library's ids for any neighbours of Latin characters and marks, and few strings are encoded for many."""
+    rnd = random.Random(2)
+    letters = [chr(c) for c in range(0x21, 0x250)] + ["don't", "'LL", "ªº", "1²", "a\u0338", "=\u0338", "Ǆ", "ŉ"]
+    texts = [" ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(1, 4))) for _ in range(30)) for _ in range(2000)] + ["", None, " ", "\t a\x0b"]
+    new = WordEncoder(word_vocabulary())
+    found = [np.frombuffer(ids, "<u4").tolist() for ids in new.encode(texts)]
+    assert [t for t, ids in zip(texts, found) if ids != encode(t or "")] == []
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.n = tokenizer, 0
+
+        def encode_batch_fast(self, some, **how):
+            self.n += len(some)
+            return self.tokenizer.encode_batch_fast(some, **how)
+
+    new.tokenizer = Counted(new.tokenizer)
+    words = ["".join(rnd.choice("abcdefghé") for _ in range(12)) + rnd.choice(["", ".", ",%%"]) for _ in range(5000)]
+    assert np.frombuffer(new.encode([" ".join(words)])[0], "<u4").tolist() == encode(" ".join(words))
+    assert new.tokenizer.n <= 20
+
+
 def test_cut_pieces(spark, encode):
     docs = [(i, " ".join(f"word{i} {j} and" for j in range(n))) for i, n in enumerate((0, 3, 40, 200, 77))]
     rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), word_vocabulary(), end_id=1, capacity=64, grain=8, keep_ids=True).collect()
