@@ -57,6 +57,14 @@ def test_repeated_passages(spark):
     assert sum(rows[i].text == w for i, w in enumerate(want)) > 0.9 * len(want)
 
 
+def test_passages_are_cut_by_one_python_worker_a_task(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, i + 60))) for i in (0, 3, 500)], "doc_id long, text string")
+    found = corpus_pipeline.repeated_passages(spark, docs, "")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert {r.doc_id: len(r.text.split()) for r in found.collect()} == {0: 3, 3: 3, 500: 60}
+
+
 def test_texts_of_one_hash_are_told_apart(spark, tmp_path, monkeypatch):
     """With a first hash of three values, near copies and leaks go and clean texts stay, as by hand."""
     rnd = random.Random(2)

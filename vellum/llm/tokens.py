@@ -140,7 +140,11 @@ def _slices(batch):
 
 def encoded_batches(batches, path: str, special_as_text: bool = False):
     """(ids of a few documents, their texts' ids) from record batches of (doc_id, text)."""
+    import pyarrow as pa
+
     enc = encoder(path, special_as_text)
     for batch in batches:
         for some in _slices(batch):
             yield some.column(0).to_pylist(), enc.encode_column(some.column(1))
+    # The worker stays; what Arrow holds in reserve needn't.
+    pa.default_memory_pool().release_unused()
