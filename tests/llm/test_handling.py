@@ -140,3 +140,22 @@ def test_pipeline(spark, tmp_path):
                 assert passage not in r.text and 98 <= len(r.text.split()) <= 100 and r.n_chars == len(r.text)
         assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in kept}
         json.dumps([r.asDict() for r in docs.limit(3).collect()])
+
+
+def test_jaccard_tables_go_when_they_are_used_up(spark, monkeypatch):
+    from pathlib import Path
+
+    from vellum.llm import common
+
+    seen, components = [], jaccard_join.components
+
+    def watched(links):
+        seen.append({p.name for p in Path(common._FOLDERS[-1].removeprefix("file:").replace("//", "/")).glob("*/*")})
+        return components(links)
+
+    monkeypatch.setattr(jaccard_join, "components", watched)
+    base = " ".join(f"w{i}" for i in range(60))
+    docs = [(i, f"{base} x{i}") for i in range(20)] + [(100 + i, f"only here {i} and there {i}") for i in range(5)] + [(7, "two texts"), (200, None)]
+    rows = jaccard_join.link(spark.createDataFrame(docs, "doc_id long, text string"), k=3, percent=90).collect()
+    assert "links" in seen[0] and not seen[0] & {"features", "classes", "entries"}
+    assert {r.component_id for r in rows if r.doc_id < 20} == {0} and all(r.component_id == r.doc_id for r in rows if r.doc_id >= 100)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import bit_test, filtered, id_filter, keep, materialize, scratch
+from vellum.llm.common import bit_test, delete, filtered, id_filter, keep, materialize, new_path, scratch
 from vellum.llm.components import components
 
 #: Shingles that have a frequency level, at most (1.2 MB).
@@ -297,7 +297,10 @@ def _link(docs: DataFrame, k: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     levels = spark.sparkContext.broadcast(frequency_levels(docs, k))
-    feats = materialize(docs.mapInArrow(_features(k, percent, levels), FEATURES), "features")
+    # Tables with prefixes or their entries are the largest; each goes once what is made of it is written.
+    at = {name: new_path(spark, name) for name in ("features", "classes", "entries")}
+    feats = materialize(docs.mapInArrow(_features(k, percent, levels), FEATURES), path=at["features"])
+    own = materialize(feats.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("d1")).alias("d1"), "d2"), "own")
 
     # A class is named by one of its rows; its smallest doc_id stands for it in the result. Only rows that may have copies
     # are shuffled to find them.
@@ -308,8 +311,9 @@ def _link(docs: DataFrame, k: int, percent: int) -> DataFrame:
     names = ["row", "d1", "d2", "rep", "n", "plain", "prefix"]
     single = filtered(real, "d1", held, False).withColumn("rep", F.col("doc_id"))
     chosen = filtered(real, "d1", held, True).join(copied, ["d1", "d2"], "left").where("first is null or row = first").withColumn("rep", F.coalesce("least", "doc_id"))
-    classes = materialize(single.select(*names).union(chosen.select(*names)).withColumnRenamed("row", "node"), "classes")
-    named = classes.select("node", "d1", "d2", "rep")
+    classes = materialize(single.select(*names).union(chosen.select(*names)).withColumnRenamed("row", "node"), path=at["classes"])
+    delete(spark, at["features"])
+    named = materialize(classes.select("node", "d1", "d2", "rep"), "named")
 
     # One shuffle by shingle serves the counts and their join. Shingles with a level are long without being counted.
     members = classes.select("node", F.posexplode(F.slice("prefix", 1, F.col("plain"))).alias("at", "shingle")).repartition("shingle")
@@ -318,7 +322,7 @@ def _link(docs: DataFrame, k: int, percent: int) -> DataFrame:
     l, n_long = _matches(percent)
     largest = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + MOST_MATCHES + F.floor(F.floor(100 * F.col("n") / percent) / 32)
     asked = classes.select("node", "n", "plain").join(entries, "node", "left").where(F.col("entries").isNotNull() | (F.col("plain") < F.least(F.col("n"), largest)))
-    asked = materialize(asked.withColumn("own", l), "entries")
+    asked = materialize(asked.withColumn("own", l), path=at["entries"])
     listed_l = (F.lit(MOST_MATCHES) + F.floor(F.floor(100 * F.col("n") / percent) / 32)).cast("int")
     asked = asked.withColumn("l", F.coalesce("own", listed_l)).withColumn("n_long", n_long(F.col("l")))
     short = F.col("n") - F.floor((F.col("n") * percent + 99) / 100)
@@ -334,6 +338,7 @@ def _link(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     # Dense documents: their whole prefixes, in lists among themselves.
     dense = materialize(asked.where("own is null").select("node"), "dense")
+    delete(spark, at["entries"])
     of_dense = materialize(classes.join(dense, "node", "left_semi").select("node", "n", F.explode("prefix").alias("shingle")), "of_dense")
 
     # Sets of all documents that may be compared, made in one scan.
@@ -355,6 +360,7 @@ def _link(docs: DataFrame, k: int, percent: int) -> DataFrame:
     # Dense pairs, too, must share as many shingles of their whole prefixes as the smaller l asks.
     t = F.floor((F.col("n") * percent + 99) / 100).cast("int")
     prefixes = materialize(classes.join(dense, "node", "left_semi").select("node", "prefix", F.least(F.lit(MOST_MATCHES) + F.floor(F.col("n") / 32).cast("int"), t).alias("l")), "prefixes")
+    delete(spark, at["classes"])
 
     def multi_matched(pairs: DataFrame) -> DataFrame:
         of = lambda x: prefixes.select(F.col("node").alias(x), F.col("prefix").alias(f"{x}_prefix"), F.col("l").alias(f"{x}_l"))
@@ -363,6 +369,7 @@ def _link(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     links = verified(met)
     # Several texts under one doc_id are linked by it.
+    real = own.where("n > 0 and doc_id is not null")
     several = real.groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y"), F.min("d2").alias("z"), F.max("d2").alias("w")).where("x <> y or z <> w").select("doc_id")
     same = real.join(several, "doc_id", "left_semi").select("doc_id", "d1", "d2").join(named, ["d1", "d2"]).select("doc_id", "node")
     same = same.join(same.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
@@ -394,6 +401,5 @@ def _link(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     comps = named.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     comps = comps.join(comps.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("d1", "d2", "component_id")
-    own = feats.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("d1")).alias("d1"), "d2")
     out = own.join(comps, ["d1", "d2"], "left")
     return keep(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "linked")
