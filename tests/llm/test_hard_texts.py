@@ -5,6 +5,8 @@ import subprocess
 import sys
 import textwrap
 
+import pytest
+
 from vellum.llm import decontaminate, jaccard_join, packing, quality_rules
 
 
@@ -80,6 +82,47 @@ def test_shared_paragraphs_are_not_verified(spark, monkeypatch):
     assert sum(compared) < 3300, compared
 
 
+@pytest.mark.parametrize(("percent", "paired", "most"), [(90, 256, 2500), (80, 6, 12000)])
+def test_near_copies_under_the_threshold_do_not_meet(spark, monkeypatch, percent, paired, most):
+    """Two templates that share half, each with copies of up to nine changed words: most pairs are just under the threshold.
+    Without the differences from a hub 10,000 pairs and more are compared at 90 percent. With short lists of differences
+    only, the others go on to the next hub, and links stay whole."""
+    rng = random.Random(4)
+    one = [f"w{i}" for i in range(150)]
+    docs = []
+    for i in range(360):
+        words = one[:75] + [f"v{j}" for j in range(75)] if i % 3 == 0 else list(one)
+        for _ in range(rng.randrange(10)):
+            words[rng.randrange(150)] = f"x{rng.randrange(400)}"
+        docs.append((i, " ".join(words)))
+    compared, plain = [], jaccard_join.materialize
+
+    def counted(df, name="", path=None):
+        out = plain(df, name, path)
+        if name in ("hub_pairs", "stars"):
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    monkeypatch.setattr(jaccard_join, "PAIRED", paired, raising=False)
+    got = {r.doc_id: r.component_id for r in jaccard_join.link(spark.createDataFrame(docs, "doc_id long, text string"), k=3, percent=percent).collect()}
+    sets = {i: {tuple(t.split()[j : j + 3]) for j in range(len(t.split()) - 2)} for i, t in docs}
+    top = {i: i for i in sets}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                top[y] = x
+    assert got == {i: find(i) for i in sets}
+    assert sum(compared) < most, compared
+
+
 def test_last_bins_are_shared():
     rng = random.Random(2)
     totals = {n: rng.randrange(0, 5000) for n in [*range(1, 64), 64, 128, 256, 512, 1024, 2048]}

@@ -11,10 +11,18 @@ lists need not be read for it. Pairs that share as many prefix shingles as the s
 Short lists are paired whole, rows bounded by their length, so candidates grow in proportion to the documents.
 
 Documents with long lists throughout their longest prefix are dense: members of large groups of near copies. Among them
-alone long lists are read: a growing number of hubs is paired with the members of other components found so far; a hub is
-then done and leaves the list, and lists inside one component are dropped, so a large group of near copies costs its size,
-not its square, and no link that joins two components is lost. Pairs of them are verified if their whole prefixes share as many
-shingles as the smaller l asks, so that documents with a few paragraphs in common are not.
+alone long lists are read, of each document those that most others are in, as many as any partner must share one of.
+
+Lists of many documents are read by stars: each has a hub, and the others of the list are told apart by their differences from
+it (shingles of one that the other lacks). Two documents that are not both linked with the hub and are linked share a part of
+their differences that grows with them, so these have short prefixes too, rarest first; what all members of a group have is no
+longer among them, and members just under the threshold do not meet each other. A document far from the hub stays in the list
+for the next hub, and a list of differences that is long itself is read by a star in the next round.
+
+What is left are short lists, and those that stars did not divide: a growing number of hubs is paired with the members of other
+components found so far; a hub is then done and leaves the list, and lists inside one component are dropped, so no link that
+joins two components is lost. Pairs of them are verified if their whole prefixes share as many shingles as the smaller l asks,
+so that documents with a few paragraphs in common are not.
 
 Copies of one set are one class, represented by its smallest doc_id.
 
@@ -30,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import bit_test, delete, filtered, id_filter, keep, materialize, new_path, scratch
+from vellum.llm.common import bit_test, delete, filtered, id_filter, keep, materialize, new_path, scratch, where_computed
 from vellum.llm.components import components
 
 #: Shingles that have a frequency level, at most (1.2 MB).
@@ -42,6 +50,10 @@ SEGMENT = 1 << 18
 #: Lists up to this length are paired whole.
 SHORT = 12
 LEAST_MATCHES, MOST_MATCHES = 3, 6
+#: Lists of dense documents over this length are read by stars, so often at most.
+LONG, ROUNDS = 32, 3
+#: Lists of differences up to this length are paired.
+PAIRED = 256
 
 
 def most_matches(n):
@@ -293,6 +305,90 @@ def _matches(percent: int) -> tuple[F.Column, F.Column]:
     return l, n_long
 
 
+def _joined(found: DataFrame, more: DataFrame) -> DataFrame:
+    """Components with more links (a, b); those found before need one link a node."""
+    return components(found.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
+
+
+def _longest_lists(of_dense: DataFrame, percent: int) -> DataFrame:
+    """Entries (shingle, node, n) of each document in its longest lists. Two linked documents share as many prefix shingles as
+    the smaller l asks, so they share one of all but that many lists less one, in any order."""
+    least = F.floor((F.col("n") * percent + 99) / 100).cast("int")
+    shared = F.least(F.lit(MOST_MATCHES) + F.floor(least / 32).cast("int"), F.floor((least * percent + 99) / 100).cast("int"))
+    length = of_dense.groupBy("shingle").agg(F.count("*").alias("docs"))
+    lists = of_dense.join(length, "shingle").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("docs", "shingle")), False).alias("xs"))
+    lists = lists.select("node", "n", F.explode(F.slice("xs", F.lit(1), F.greatest(F.size("xs") - shared + 1, F.lit(0)))).alias("x"))
+    return materialize(lists.where("x.docs > 1").select("x.shingle", "node", "n"), "longest_lists")
+
+
+def _stars(lists: DataFrame, sets: DataFrame, found: DataFrame, percent: int, verified) -> tuple[DataFrame, DataFrame]:
+    """Entries (shingle, node, n) of the lists that are not settled, and components of all links.
+
+    D is the size of the difference of a document and its hub. |x ^ y| = Dx + Dy - 2 |common part of their differences|, and
+    it is at most (100 - percent) / (100 + percent) * (nx + ny) if x and y are linked; that is `apart` for x at most."""
+    hubs_before = short = None
+    # Documents up to `done` from a hub have all their partners up to `near` from it.
+    done = F.floor(F.col("h_n") / 3)
+    near = done + F.floor((100 - percent) * (F.col("h_n") + done) / percent)
+    apart = F.floor((100 - percent) * F.col("n") / percent)
+    for _ in range(ROUNDS):
+        known = lists.join(found, "node", "left").select("shingle", "node", "n", F.coalesce("comp", "node").alias("comp"))
+        open_lists = known.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("docs")).where("x <> y").select("shingle", "docs")
+        known = materialize(known.join(open_lists, "shingle").select("shingle", "node", "n", "docs"), "open_lists")
+        few, many = known.where(F.col("docs") <= LONG).select("shingle", "node", "n"), known.where(F.col("docs") > LONG)
+        short = few if short is None else short.union(few)
+        lists = many.select("shingle", "node", "n")
+        if many.isEmpty():
+            break
+        # The document that meets most others, so that the lists of a group have one hub.
+        score = many.groupBy("node").agg(F.sum("docs").alias("score"))
+        if hubs_before is not None:
+            score = score.join(hubs_before.withColumn("before", F.lit(True)), "node", "left").select("node", F.when(F.col("before"), 0).otherwise(F.col("score")).alias("score"))
+        hub = many.join(score, "node").groupBy("shingle").agg(F.max(F.struct("score", "node", "n")).alias("hub"))
+        hub = materialize(hub.select("shingle", F.col("hub.node").alias("h"), F.col("hub.n").alias("h_n")), "hubs")
+        of_hub = materialize(lists.join(hub, "shingle").where("node <> h"), "of_hub")
+        pairs = of_hub.where(F.abs(F.col("n") - F.col("h_n")) <= near).select("node", "n", "h", "h_n").distinct()
+        both = pairs.join(sets.select(F.col("node").alias("h"), F.col("shingles").alias("h_shingles")), "h").join(sets, "node")
+        differ = F.concat(F.array_except("shingles", "h_shingles"), F.array_except("h_shingles", "shingles"))
+        stars = where_computed(both.select("h", "h_n", "node", "n", differ.alias("differ")), F.size("differ") <= near)
+        stars = materialize(stars.withColumn("d", F.size("differ")), "stars")
+        total = F.col("n") + F.col("h_n")
+        new = stars.where(100 * (total - F.col("d")) >= percent * (total + F.col("d")))
+        found = _joined(found, new.select(F.col("node").alias("a"), F.col("h").alias("b")))
+
+        # Documents of other components than their hub's are `out`; of two in different components, one is.
+        named = stars.join(found, "node", "left").join(found.select(F.col("node").alias("h"), F.col("comp").alias("h_comp")), "h", "left")
+        named = named.withColumn("comp", F.coalesce("comp", "node")).withColumn("out", F.col("comp") != F.coalesce("h_comp", "h"))
+        named = materialize(named.select("h", "node", "n", "d", "comp", "out", F.explode("differ").alias("el")), "differences")
+        # The others' differences come first in the order, since no document out has them; so do those of one document.
+        several = named.groupBy("h", "el").agg(F.count("*").alias("docs"), F.max("out").alias("out")).where("docs > 1 and out").select("h", "el", "docs")
+        kept = named.join(several, ["h", "el"]).groupBy("h", "node", "n", "d", "comp", "out").agg(F.array_sort(F.collect_list(F.struct("docs", "el"))).alias("els"))
+        kept = kept.select("h", "node", "n", "d", "comp", "out", F.size("els").alias("size"), F.posexplode("els").alias("at", "x")).withColumn("at", F.col("at") + F.col("d") - F.col("size"))
+        # most: the largest difference of a partner that has none in common before this one.
+        most = 2 * (F.col("d") - F.col("at")) + apart - F.col("d")
+        kept = kept.where(F.col("at") <= F.col("d") - F.greatest(F.lit(1), F.col("d") - apart))
+        kept = materialize(kept.select("h", "x.el", "node", "n", "d", "comp", "out", most.alias("most")), "kept_differences")
+        least = kept.groupBy("h", "el").agg(F.min(F.when(F.col("out"), F.col("d"))).alias("least_out"), F.min("d").alias("least"))
+        kept = kept.join(least, ["h", "el"]).where(F.col("most") >= F.when(F.col("out"), F.col("least")).otherwise(F.col("least_out")))
+        kept = materialize(kept.drop("least", "least_out"), "met_differences")
+        length = kept.groupBy("h", "el").agg(F.count("*").alias("docs"), F.max("out").alias("some_out")).where("docs > 1 and some_out").select("h", "el", "docs")
+        kept = materialize(kept.join(length, ["h", "el"]), "lists_of_differences")
+        paired = kept.where(F.col("docs") <= PAIRED)
+        y = paired.select("h", "el", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "d", "comp", "out", "most")])
+        pairs = paired.where("out").join(y, ["h", "el"]).where("comp <> y_comp and (not y_out or node < y_node) and d <= y_most and y_d <= most")
+        pairs = pairs.where(100 * F.least("n", "y_n") >= percent * F.greatest("n", "y_n"))
+        more = verified(materialize(pairs.select(F.least("node", "y_node").alias("a"), F.greatest("node", "y_node").alias("b")).distinct(), "hub_pairs"))
+        if not more.isEmpty():
+            found = _joined(found, more)
+
+        settled = stars.where(F.col("d") <= done).select("node", "h")
+        lists = of_hub.join(settled, ["node", "h"], "left_anti").select("shingle", "node", "n")
+        lists = materialize(lists.union(kept.where(F.col("docs") > PAIRED).select(F.xxhash64("h", "el").alias("shingle"), "node", "n")), "lists")
+        before = hub.select(F.col("h").alias("node")).distinct()
+        hubs_before = before if hubs_before is None else hubs_before.union(before).distinct()
+    return short.union(lists), found
+
+
 def _link(docs: DataFrame, k: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -374,7 +470,8 @@ def _link(docs: DataFrame, k: int, percent: int) -> DataFrame:
     same = real.join(several, "doc_id", "left_semi").select("doc_id", "d1", "d2").join(named, ["d1", "d2"]).select("doc_id", "node")
     same = same.join(same.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
     links = links.union(materialize(same, "same_ids"))
-    found, hubs, long_lists, first = components(links), 1, of_dense, True
+    long_lists, found = _stars(_longest_lists(of_dense, percent), sets, components(links), percent, verified)
+    hubs, first = 1, True
     while True:
         known = long_lists.join(found, "node", "left").select("shingle", "node", "n", F.coalesce("comp", "node").alias("comp"))
         known = known.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(hubs)) if hubs > 1 else F.lit(0))
@@ -390,8 +487,7 @@ def _link(docs: DataFrame, k: int, percent: int) -> DataFrame:
             pairs = pairs.groupBy("node").agg(F.max_by("h_node", F.struct("lists", "h_node")).alias("h_node"))
         more = verified(materialize(multi_matched(pairs.select(F.least("h_node", "node").alias("a"), F.greatest("h_node", "node").alias("b")).distinct()), "hub_pairs"))
         if not more.isEmpty():
-            links = links.union(more)
-            found = components(links)
+            found = _joined(found, more)
         if first:
             first = False
             continue
