@@ -5,9 +5,10 @@ import subprocess
 import sys
 import textwrap
 
+import pyarrow as pa
 import pytest
 
-from vellum.llm import decontaminate, jaccard_join, packing, quality_rules
+from vellum.llm import decontaminate, jaccard_join, packing, quality_rules, suffix_dedup
 
 
 def test_low_entropy_in_bounded_memory():
@@ -149,3 +150,29 @@ def test_one_symbol_is_no_reason(spark):
     rows = [(i, i % 3 == 0, rng.uniform(0.05, 0.3) if i % 3 == 0 else 0.0) for i in range(600)]
     rules = quality_rules.learn(spark.createDataFrame(rows, "doc_id long, bad boolean, symbols_a_word double"))
     assert len(rules) == 1 and rules[0][0].above and 0.02 < rules[0][0].cut < 0.05
+
+
+def test_strings_are_named_all_at_once(monkeypatch):
+    """Every string around the anchors of 300 texts, in batches of more than one slice; hashes are asked twice a text, not
+    twice an anchor."""
+    rng = random.Random(5)
+    texts, asked = ["".join(rng.choice("abcd ") for _ in range(900)) for _ in range(300)], []
+    for _ in texts:
+        lows = [rng.randrange(40) for _ in range(rng.randrange(6))]
+        asked.append([{"doc": rng.randrange(99), "core": rng.randrange(99), "packed": (p := rng.randrange(100, 400)) << 32 | 3 << 16 | lo << 8 | lo + rng.randrange(50), "end": p + rng.randrange(200), "weight": rng.randrange(1, 3)} for lo in lows])
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("doc", "core", "packed", "end", "weight")]))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(asked, kind)], ["text", "asked"])
+    calls, plain = [], suffix_dedup._Hashed.of
+    monkeypatch.setattr(suffix_dedup._Hashed, "of", lambda self, lo, hi: calls.append(1) or plain(self, lo, hi))
+    got = [r for b in suffix_dedup._strings(400, False)([batch]) for r in b.to_pylist()]
+    assert len(calls) == 2 * len(texts)
+    want, names = [], {}
+    for text, some in zip(texts, asked):
+        for a in some:
+            place = a["packed"] >> 32
+            for d in range(a["packed"] >> 8 & 255, (a["packed"] & 255) + 1):
+                want.append((a["doc"], place - d, a["core"], d, a["weight"], a["weight"] == 1))
+                names.setdefault((text[place - d : place], text[a["end"] : place - d + 400]), set()).add(got[len(want) - 1]["name"])
+    assert [(r["doc"], r["start"], r["core"], r["distance"], r["weight"], r["alone"]) for r in got] == want
+    assert all(len(x) == 1 for x in names.values())
+    assert len({n for x in names.values() for n in x}) == len(names)
