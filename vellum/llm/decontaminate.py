@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.common import local_table
+
 Q, PERCENT = 10, 7
 BLOCK_CHARS = 4_000_000
 FOUND = "doc_id long, item_id long, start long, length long, edits int"
@@ -251,7 +253,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, percent: i
     text that lacks more of an item than `percent` edits does not hold it."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    out = spark.createDataFrame([], FOUND)
+    out = local_table(spark, [], FOUND)
     items, size = [], 0
 
     def passed() -> DataFrame:

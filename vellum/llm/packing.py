@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import materialize
+from vellum.llm.common import local_table, materialize
 from vellum.llm.tokens import encoded_batches
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, place long"
@@ -101,8 +101,8 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 1, capacity: int = 20
     found = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     classes, spots = last_bins(found, capacity)
     spark = docs.sparkSession
-    totals = spark.createDataFrame(classes, "length long, per_bin long, full long, first_bin long")
-    rest = spark.createDataFrame(spots, "length long, r long, last_bin long, last_offset long")
+    totals = local_table(spark, classes, "length long, per_bin long, full long, first_bin long")
+    rest = local_table(spark, spots, "length long, r long, last_bin long, last_offset long")
     placed = pieces.join(F.broadcast(totals), "length").join(before.drop("n"), ["length", "task"])
     nth = F.col("place") + F.col("before")
     placed = placed.withColumn("nth", nth).withColumn("r", F.col("nth") - F.col("full") * F.col("per_bin")).join(F.broadcast(rest), ["length", "r"], "left")

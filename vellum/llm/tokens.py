@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import threading
 
 #: Words kept by one Python worker, about 150 bytes each; words beyond are encoded each time they come.
 CACHE_WORDS = 200_000
@@ -21,6 +22,10 @@ JOINED = 500
 _SIMPLE = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 _ENCODERS: dict = {}
+#: A worker that encodes nothing for so many seconds lets its encoders go: Spark keeps idle workers for a minute and gives them to
+#: other queries' stages.
+IDLE_SECONDS = 3.0
+_IDLE: list[threading.Timer] = []
 
 
 class WordEncoder:
@@ -121,10 +126,35 @@ class WordEncoder:
 
 def encoder(path: str, special_as_text: bool = False) -> WordEncoder:
     """The worker's own encoder for a vocabulary file."""
+    _keep_encoders()
     key = (path, special_as_text)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(path, special_as_text)
-    return _ENCODERS[key]
+    found = _ENCODERS.get(key)
+    if found is None:
+        found = _ENCODERS[key] = WordEncoder(path, special_as_text)
+    return found
+
+
+def _keep_encoders() -> None:
+    while _IDLE:
+        _IDLE.pop().cancel()
+
+
+def _release_later() -> None:
+    """Let the encoders go if none is asked for within IDLE_SECONDS. A task that has one by then keeps it to its end."""
+    _keep_encoders()
+    _IDLE.append(threading.Timer(IDLE_SECONDS, _release))
+    _IDLE[-1].daemon = True
+    _IDLE[-1].start()
+
+
+def _release() -> None:
+    import ctypes
+
+    _ENCODERS.clear()
+    # What is free stays with the process otherwise; only glibc has this.
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+    if trim:
+        trim(0)
 
 
 def _slices(batch):
@@ -143,8 +173,11 @@ def encoded_batches(batches, path: str, special_as_text: bool = False):
     import pyarrow as pa
 
     enc = encoder(path, special_as_text)
-    for batch in batches:
-        for some in _slices(batch):
-            yield some.column(0).to_pylist(), enc.encode_column(some.column(1))
-    # The worker stays; what Arrow holds in reserve needn't.
-    pa.default_memory_pool().release_unused()
+    try:
+        for batch in batches:
+            for some in _slices(batch):
+                yield some.column(0).to_pylist(), enc.encode_column(some.column(1))
+    finally:
+        # The worker stays; what Arrow holds in reserve needn't.
+        pa.default_memory_pool().release_unused()
+        _release_later()
