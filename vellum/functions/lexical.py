@@ -16,7 +16,9 @@ STOPWORDS = (
 
 
 def stripped(value: Column) -> Column:
-    return F.regexp_replace(value, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    # Most values begin and end with a printed ASCII character, so no pattern is tried on them.
+    ends = [F.substring(value, F.lit(at), F.lit(1)).between("!", "~") for at in (1, -1)]
+    return F.when(ends[0] & ends[1], value).otherwise(F.regexp_replace(value, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
 
 
 def collapsed(value: Column) -> Column:
@@ -49,7 +51,11 @@ def is_irdi(value: Column) -> Column:
 def normal_identifier(value: Column) -> Column:
     """An identifier's compared form: trimmed; an IRDI in a urn:irdi: name or in an ECLASS address as the IRDI itself. No
     other name space, case or escape is read."""
-    v, urn = stripped(value), "urn:irdi:"
+    return _unwrapped(stripped(value))
+
+
+def _unwrapped(v: Column) -> Column:
+    urn = "urn:irdi:"
     wrapped = F.replace(F.substring(v, len(urn) + 1, 1 << 30), F.lit("%23"), F.lit("#"))
     cdp = r"^(?i:https?://api\.eclass-cdp\.com)/(\d{4}-\d)-(\d{2}-[A-Z]{3}\d{3})-(\d{3})/?$"
     return F.when(v.startswith(urn), F.when(is_irdi(wrapped), wrapped).otherwise(v)).otherwise(F.regexp_replace(v, cdp, "$1#$2#$3"))
@@ -70,8 +76,10 @@ def samm_stem(value: Column) -> Column:
 
 def candidates(keys: Column) -> Column:
     """The spellings of a reference with these key values: each, and their join by slashes if there are several."""
-    values = F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: normal_identifier(F.coalesce(k, F.lit(""))))
-    return F.array_distinct(F.when(F.size(values) > 1, F.concat(values, F.array(F.array_join(values, "/")))).otherwise(values))
+    # Each step is a lambda over the one before, so that no step is computed again for each of its uses.
+    trimmed = F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: stripped(F.coalesce(k, F.lit(""))))
+    values = F.transform(trimmed, _unwrapped)
+    return F.transform(F.array(values), lambda v: F.when(F.size(v) > 1, F.array_distinct(F.concat(v, F.array(F.array_join(v, "/"))))).otherwise(v))[0]
 
 
 def _last_slash(value: Column) -> tuple[Column, Column]:
@@ -120,23 +128,40 @@ def file_name(path: Column) -> Column:
     return ascii_folded(unquoted(F.regexp_extract(stripped(path), r"(?s)([^/\\]*)$", 1)))
 
 
-def part_name(value: Column) -> Column:
-    """(name, problem) of a part that a value names, one of them null: slashes unified, escapes decoded, dot segments applied."""
-    text = F.replace(value, F.lit("\\"), F.lit("/"))
-    steps = F.filter(F.split(unquoted(text), "/"), lambda s: (s != "") & (s != "."))
+#: Names that mean themselves, slashes in front aside: no escape, no empty or dot segment, a first letter that is no white space.
+SIMPLE_PART = r"^/*[A-Za-z0-9_][^/\\%\x00]*(?:/(?!\.{1,2}(?:/|\z))[^/\\%\x00]+)*\z"
+
+
+def _walked(value: Column) -> Column:
+    """A part's name once escapes are decoded and dot segments applied; a NUL where it climbs out of the package."""
+    steps = F.filter(F.split(unquoted(F.replace(value, F.lit("\\"), F.lit("/"))), "/"), lambda s: (s != "") & (s != "."))
     climbed, empty = F.lit("\x00"), F.array().cast("array<string>")
     # One element, a NUL, once a step up leaves the package.
     walk = F.aggregate(steps, empty, lambda done, s: F.when(F.get(done, F.lit(0)).eqNullSafe(climbed), done).when(s != "..", F.concat(done, F.array(s))).when(F.size(done) > 0, F.slice(done, 1, F.size(done) - 1)).otherwise(F.array(climbed)))
-    name = F.array_join(walk, "/")
+    return F.array_join(walk, "/")
+
+
+def part_name(value: Column) -> Column:
+    """(name, problem) of a part that a value names, one of them null: slashes unified, escapes decoded, dot segments applied."""
+    text = F.replace(value, F.lit("\\"), F.lit("/"))
+    name = _walked(value)
     problem = (
         F.when(value.isNull() | (stripped(value) == ""), "it is empty")
         .when(text.endswith("/"), "it ends in a separator, so it names a directory and not a part")
-        .when(name == climbed, "it climbs out of the package")
+        .when(name == F.lit("\x00"), "it climbs out of the package")
         .when(name == "", "nothing is left of it once its dot segments are resolved")
     )
     return F.struct(F.when(problem.isNull(), name).alias("name"), problem.alias("problem"))
 
 
+def part_of(value: Column) -> Column:
+    """The name in part_name, null where that has a problem. Its steps are walked once, and only where a name isn't its own."""
+    ends = F.replace(value, F.lit("\\"), F.lit("/")).endswith("/")
+    kept = F.transform(F.array(_walked(value)), lambda n: F.when((n != "") & (n != F.lit("\x00")), n))[0]
+    walked = F.when(value.isNotNull() & (stripped(value) != "") & ~ends, kept)
+    return F.when(F.regexp_like(value, F.lit(SIMPLE_PART)), F.regexp_replace(value, "^/+", "")).otherwise(walked)
+
+
 def illegal_in_a_segment(text: Column) -> Column:
     """The distinct ASCII characters, in order, that no segment of a part name may hold."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([\x00-\x7f&&[^A-Za-z0-9\-._~!$&'()*+,;=:@%/]])"))))
